@@ -32,6 +32,56 @@ from events
 """
 
 
+# records with planted faults, in files of 500 events; some records are repeated
+DIRTY = f"""
+select * from (
+  select record_id * 2 as record_id, {{fields}} from ({LOGS}) as a
+  union all
+  select record_id * 2 + 1 as record_id, {{fields}} from ({LOGS}) as b where record_id % 50 = 1) as u
+""".replace("{fields}", """concat('file-', lpad(cast(cast(floor(record_id / 500) as bigint) as string), 6, '0')) as file,
+  case when record_id % 97 = 3 then 'yesterday' when record_id % 89 = 4 then '2024' when record_id % 83 = 2 then null
+       when record_id % 211 = 10 and record_id % 2 = 1 then cast(log_ts - interval '3' day as string) else cast(log_ts as string) end as timestamp,
+  case when record_id % 71 = 1 then null else message end as message, process_name, log_level""")
+
+# JSON-line service logs, one line per event; some lines are blank or broken
+SERVICE = """
+select event_id as line, ts as log_ts,
+  case when event_type = 'error' then 'ERROR' when event_type = 'purchase' then 'warning' when event_type = 'view' then 'DEBUG' else 'INFO' end as level,
+  case when event_type = 'click' then 'http.access' when event_type = 'signup' then 'core.Features' else 'svc.pipe' end as logger,
+  case when event_type = 'view' then concat('Progress of run: ', cast(event_id % 100 as string), '.5 % done')
+       when event_type = 'error' then concat('Run failed, training_id: job-', cast(user_id as string))
+       when event_type = 'purchase' then concat('Saved artefact for Training-ID ', cast(user_id as string))
+       when event_type = 'signup' then 'loaded 12 columns' else concat('GET /health ', cast(event_id % 7 as string)) end as message,
+  case when event_id % 3 = 0 then concat('job-', cast(user_id as string)) end as x_training_id,
+  case when event_id % 11 = 0 then cast(event_id % 90 as double) end as x_progress,
+  case when event_type = 'view' then 'scaling' end as x_step
+from events
+"""
+
+# model registry rows and job events
+MODELS = """
+select concat('1.', cast(o_orderkey % 40 as string), '.', cast(o_orderkey as string), case when o_orderkey % 19 = 0 then '-beta' else '' end) as version,
+  o_orderdate as created_at, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'local_outlier_factor' else 'isolation_forest' end as model_type,
+  cast(floor(o_totalprice) as bigint) as training_samples, o_orderkey * 10 as size_bytes,
+  case o_orderstatus when 'F' then 'available' when 'O' then 'deployed' else 'failed' end as status,
+  case when o_orderkey % 3 = 0 then null else concat('job-', cast(o_custkey + 5 as string)) end as training_id
+from orders
+"""
+JOB_EVENTS = """
+select concat('job-', cast(user_id as string)) as training_id, ts as event_time, cast(event_id % 101 as double) as progress, event_type as step,
+  case when event_type = 'error' and event_id % 2 = 0 then 'out of memory' end as error,
+  case when event_type = 'purchase' then 'saved' end as result
+from events
+"""
+EVALUATED = """
+select o_orderkey as training_id, o_orderdate as updated_at, case when o_orderstatus = 'P' then 'running' else 'completed' end as status,
+  o_orderkey % 7 <> 0 as evaluated, case when o_orderkey % 5 = 0 then null else o_orderkey % 4 <> 1 end as all_passed,
+  case when o_orderkey % 6 = 0 then null else (o_orderkey % 100) / 100.0 end as accuracy,
+  (o_custkey % 50) / 50.0 as f1_score, o_orderpriority as urgency
+from orders
+"""
+
+
 def logs(spark, sf_dir):
     """The log view of one data folder."""
     return _run(spark, sf_dir, LOGS)
@@ -41,15 +91,39 @@ def scored(spark, sf_dir):
     return _run(spark, sf_dir, SCORED)
 
 
-def _run(spark, sf_dir, sql):
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql(sql.replace("from events", "from {events}"), events=table)
+def dirty(spark, sf_dir):
+    return _run(spark, sf_dir, DIRTY)
+
+
+def service(spark, sf_dir):
+    return _run(spark, sf_dir, SERVICE)
+
+
+def models(spark, sf_dir):
+    return _run(spark, sf_dir, MODELS, "orders")
+
+
+def job_events(spark, sf_dir):
+    return _run(spark, sf_dir, JOB_EVENTS)
+
+
+def evaluated(spark, sf_dir):
+    return _run(spark, sf_dir, EVALUATED, "orders")
+
+
+def _run(spark, sf_dir, sql, table="events"):
+    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(sql.replace(f"from {table}", "from {source}"), source=source)
+
+
+def with_view(name, view, body, *ctes):
+    """SQL over one of the views, for DuckDB."""
+    return f"with {name} as ({view})" + "".join(f", {c}" for c in ctes) + f" {body}"
 
 
 def with_logs(body, *ctes):
-    """SQL over the log view, for DuckDB."""
-    return f"with logs as ({LOGS})" + "".join(f", {c}" for c in ctes) + f" {body}"
+    return with_view("logs", LOGS, body, *ctes)
 
 
 def with_scored(body, *ctes):
-    return f"with scored as ({SCORED})" + "".join(f", {c}" for c in ctes) + f" {body}"
+    return with_view("scored", SCORED, body, *ctes)

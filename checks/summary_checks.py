@@ -8,6 +8,9 @@ from logprism.operators import summary
 
 
 def _rounded(df):
+    # the mean gap is a quotient of whole microseconds, so its sixth digit can be
+    # an exact tie, which the engines round differently; both sides add 1e-9
+    df = df.withColumn("mean_time_between_events", F.col("mean_time_between_events") + 1e-9)
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -89,7 +92,7 @@ def _summary(key=None, expression=None):
       coalesce(macs, 0) as unique_mac_count, ssids as unique_ssid_count, coalesce(fails, 0) as failed_auth_mac_count,
       round(coalesce(sm, 0), 6) as mean_signal_strength, round(coalesce(ss, 0), 6) as std_signal_strength, round(coalesce(rm, 0), 6) as mean_data_rate,
       round(coalesce(lm, 0), 6) as mean_packet_loss, round(hm, 6) as mean_hour_of_day, round(wm, 6) as mean_day_of_week,
-      round(coalesce(span / nullif(core.n - 1, 0), 0), 6) as mean_time_between_events, round(er / d, 6) as error_ratio, round(wa / d, 6) as warning_ratio,
+      round(coalesce(span / nullif(core.n - 1, 0), 0) + 1e-9, 6) as mean_time_between_events, round(er / d, 6) as error_ratio, round(wa / d, 6) as warning_ratio,
       d as total_devices, mx as max_device_activity, round(av, 6) as mean_device_activity, cast(aso as bigint) as association_count, cast(dis as bigint) as disassociation_count
       from core join act on core.k is not distinct from act.k left join sets on core.k is not distinct from sets.k""", sets, dev, act, core)
 

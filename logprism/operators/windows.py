@@ -47,63 +47,85 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _step_rows(df: DataFrame, keys: Sequence[str], at: Sequence[Column],
+               deltas: Sequence[Mapping[str, Column]], emit: Sequence[Column]) -> DataFrame:
+    """Row i of each input row: instant ``at[i]`` with the deltas i, where ``emit[i]``.
+
+    Plain CASE expressions over an exploded index stay in generated code.
+    """
+    names = list(deltas[0])
+    index = F.col("_i")
+
+    def pick(values: Sequence[Column]) -> Column:
+        chosen = F.when(index == 0, values[0])
+        for i, value in enumerate(values[1:], 1):
+            chosen = chosen.when(index == i, value)
+        return chosen
+
+    def pick_delta(name: str) -> Column:
+        parts = [(i, d[name]) for i, d in enumerate(deltas) if d[name] is not None]
+        if not parts:
+            return F.lit(0).cast("long")
+        chosen = F.when(index == parts[0][0], parts[0][1])
+        for i, value in parts[1:]:
+            chosen = chosen.when(index == i, value)
+        return chosen.otherwise(F.lit(0)).cast("long")
+
+    rows = df.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(len(at))])))
+    return rows.filter(pick(emit)).select(
+        *keys, pick(at).alias("_at"), *[pick_delta(n).alias(n) for n in names])
+
+
 def _count_steps(rows: DataFrame, counts: Sequence[str], widths: Mapping[str, int],
-                 keys: Sequence[str], outputs: Sequence[str]) -> DataFrame:
-    """Rise rows for every instant (also where nothing is counted) and fall rows."""
+                 keys: Sequence[str], outputs: Sequence[tuple[str, str]]) -> DataFrame:
+    """A rise row for every instant (also where nothing is counted), and fall rows."""
     # the row number keeps an instant that no measure counts
     per_instant = rows.groupBy(*keys, "_t").agg(
         F.count("*").alias("_rows"), *[F.sum(c).alias(c) for c in counts]
     )
-    zero = F.lit(0).cast("long")
-
-    def step(at: Column, factor: int, width: str | None) -> Column:
-        values = [
-            (F.col(m) * factor if m in counts and width in (None, w) else zero).alias(_out(w, m))
-            for w, m in outputs
-        ]
-        return F.struct(at.alias("_at"), *values)
-
-    steps = [step(F.col("_t"), 1, None)]
-    steps += [step(F.col("_t") + micros + 1, -1, w) for w, micros in widths.items() if counts]
-    return per_instant.select(*keys, F.inline(F.array(*steps)))
+    t = F.col("_t")
+    anything = F.lit(False)
+    for c in counts:
+        anything = anything | (F.col(c) > 0)
+    at, emit = [t], [F.lit(True)]
+    deltas = [{_out(w, m): F.col(m) if m in counts else None for w, m in outputs}]
+    for width, micros in widths.items():
+        at.append(t + micros + 1)
+        emit.append(anything)
+        deltas.append({_out(w, m): -F.col(m) if m in counts and w == width else None
+                       for w, m in outputs})
+    return _step_rows(per_instant, keys, at, deltas, emit)
 
 
 def _distinct_steps(rows: DataFrame, distincts: Sequence[str], widths: Mapping[str, int],
-                    keys: Sequence[str], outputs: Sequence[str]) -> DataFrame:
+                    keys: Sequence[str], outputs: Sequence[tuple[str, str]]) -> DataFrame:
+    number = {m: i for i, m in enumerate(distincts)}
+
     def tag(measure: str) -> Column:
-        return F.transform(
-            F.col(measure), lambda v: F.struct(F.lit(measure).alias("_m"), v.alias("_v"))
-        )
+        mark = F.lit(number[measure])
+        return F.transform(F.col(measure), lambda v: F.struct(mark.alias("_m"), v.alias("_v")))
 
     tagged = F.flatten(F.array(*[tag(m) for m in distincts]))
     seen = (
-        rows.select(*keys, "_t", F.inline(tagged))
-        .filter(F.col("_v").isNotNull())
-        .distinct()
+        rows.select(*keys, "_t", F.inline(tagged)).filter(F.col("_v").isNotNull()).distinct()
     )
     near = neighbours(seen, "_t", "_t", [*keys, "_m", "_v"])
-    zero = F.lit(0).cast("long")
-    one = F.lit(1).cast("long")
-    starts = {w: F.col("prev_value").isNull() | (F.col("prev_value") < F.col("_t") - us)
-              for w, us in widths.items()}
-    ends = {w: F.col("next_value").isNull() | (F.col("next_value") > F.col("_t") + us)
-            for w, us in widths.items()}
-    rise = F.struct(
-        F.col("_t").alias("_at"),
-        *[F.when((F.col("_m") == m) & starts[w], one).otherwise(zero).alias(_out(w, m))
-          if m in distincts else zero.alias(_out(w, m)) for w, m in outputs],
-    )
-    any_start = starts[min(widths, key=widths.get)]
-    steps = [F.when(any_start, rise)]
+    t, before, after = F.col("_t"), F.col("prev_value"), F.col("next_value")
+    starts = {w: before.isNull() | (before < t - us) for w, us in widths.items()}
+    ends = {w: after.isNull() | (after > t + us) for w, us in widths.items()}
+
+    def of(measure: str, condition: Column, delta: int) -> Column:
+        return F.when((F.col("_m") == number[measure]) & condition, delta).otherwise(0)
+
+    narrowest = min(widths, key=widths.get)  # a gap wider than any window is wider than this one
+    at, emit = [t], [starts[narrowest]]
+    deltas = [{_out(w, m): of(m, starts[w], 1) if m in number else None for w, m in outputs}]
     for width, micros in widths.items():
-        fall = F.struct(
-            (F.col("_t") + micros + 1).alias("_at"),
-            *[F.when(F.col("_m") == m, -one).otherwise(zero).alias(_out(w, m))
-              if m in distincts and w == width else zero.alias(_out(w, m)) for w, m in outputs],
-        )
-        steps.append(F.when(ends[width], fall))
-    present = F.filter(F.array(*steps), lambda s: s.isNotNull())
-    return near.select(*keys, F.inline(present))
+        at.append(t + micros + 1)
+        emit.append(ends[width])
+        deltas.append({_out(w, m): of(m, F.lit(True), -1) if m in number and w == width else None
+                       for w, m in outputs})
+    return _step_rows(near, keys, at, deltas, emit)
 
 
 def _out(width: str, measure: str) -> str:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.views import LOGS, _run, logs, scored, with_logs, with_scored
+from checks.views import LOGS, logs, scored, with_logs, with_scored
 from logprism.functions import fixed
 from logprism.operators import forest as forest_ops
 from logprism.operators.distribution import distribution, percentiles
@@ -84,8 +84,9 @@ def train_report(spark, sf_dir):
     training.train(spark, logs(spark, sf_dir), "record_id", "v1", "2024-02-01T00:00:00", root)
     model_store.deploy_model(spark, root, "v1", "2024-02-02T00:00:00", "check")
     model = model_store.load_model(spark, root, "v1")
+    stored = model_store.read_registry(spark, root).select(F.struct("version", "status", "training_samples")).scalar()
     out = scoring.prediction_summary(scoring.score_logs(logs(spark, sf_dir), model))
-    return model_store.read_registry(spark, root).select("version", "status", "training_samples").join(out)
+    return out.withColumns({c: stored.getField(c) for c in ("version", "status", "training_samples")})
 
 
 def cross_validation(spark, sf_dir):

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from logprism.functions.formats import parse_iso
 
-RECORD_SCHEMA = (
-    "struct<id: string, device_id: string, device_ip: string, timestamp: string, message: string, "
-    "raw_message: string, process_name: string, log_level: string, structured_data: map<string, string>, "
-    "pushed_to_ai: boolean, pushed_at: string, push_attempts: long, last_push_error: string>"
+RECORD_FIELDS = (
+    "id string, device_id string, device_ip string, timestamp string, message string, "
+    "raw_message string, process_name string, log_level string, structured_data map<string, string>, "
+    "pushed_to_ai boolean, pushed_at string, push_attempts long, last_push_error string"
 )
 DOCUMENT_SCHEMA = (
     "export_metadata struct<export_id: string, created_at: string, total_records: long, format: string, "
-    f"start_date: string, end_date: string, programs: array<string>>, data array<{RECORD_SCHEMA}>"
+    f"start_date: string, end_date: string, programs: array<string>>, data array<struct<{RECORD_FIELDS}>>"
 )
 
 

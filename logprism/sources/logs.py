@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from logprism.functions import fixed
 from logprism.functions.formats import parse_iso
-from logprism.sources.exports import RECORD_SCHEMA
-
-_RECORD_FIELDS = RECORD_SCHEMA[len("struct<"):-1]
+from logprism.sources.exports import RECORD_FIELDS
 
 
 def read_logs(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -21,7 +19,7 @@ def read_logs(spark: SparkSession, path: str, file_format: str = "parquet") -> D
     """
     reader = spark.read
     if file_format == "json":
-        df = reader.schema(_RECORD_FIELDS).json(path)
+        df = reader.schema(RECORD_FIELDS).json(path)
     elif file_format == "csv":
         df = reader.option("header", True).option("escape", '"').csv(path)
     else:
@@ -43,11 +41,12 @@ def select_training_logs(
 ) -> DataFrame:
     """Records of some programs in [start, end]; with a cap, the earliest ones."""
     out = logs.filter(F.col(process).isin(list(programs)))
-    out = out.filter(_between(F.col(ts), start, end))
+    out = out.filter(between(F.col(ts), start, end))
     return out if max_records is None else out.orderBy(*order).limit(max_records)
 
 
-def _between(ts: Column, start: str | None, end: str | None) -> Column:
+def between(ts: Column, start: str | None, end: str | None) -> Column:
+    """Closed interval; an absent end is open."""
     condition = F.lit(True)
     if start is not None:
         condition = condition & (ts >= F.lit(start).cast("timestamp_ntz"))
@@ -84,7 +83,7 @@ def write_selection(logs: DataFrame, path: str, file_format: str = "json", level
     """Write the rows of one level and time span as JSON lines or CSV."""
     if file_format not in ("json", "csv"):
         raise ValueError(f"unsupported format {file_format!r}")
-    out = logs.filter(_between(F.col(ts), start, end))
+    out = logs.filter(between(F.col(ts), start, end))
     if level is not None:
         out = out.filter(F.upper(level_column) == level.upper())
     writer = out.write

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from logprism.functions import features as fx
 from logprism.functions import fixed
+from logprism.functions.formats import parse_iso
 from logprism.operators import registry
 from logprism.plans.scoring import score_features, score_logs
 from logprism.sources import model_store
-from logprism.sources.exports import RECORD_SCHEMA
-from logprism.sources.logs import parse_iso
+from logprism.sources.exports import RECORD_FIELDS
 
 #: Features that need one record only, so that a stream can compute them.
 STREAM_FEATURES = fx.TIME_FEATURES + fx.WIFI_FEATURES + fx.TEXT_FEATURES + ("log_level_numeric",)
@@ -21,7 +21,7 @@ STREAM_FEATURES = fx.TIME_FEATURES + fx.WIFI_FEATURES + fx.TEXT_FEATURES + ("log
 
 def read_log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """JSON-line device logs as they arrive in a folder."""
-    reader = spark.readStream.schema(RECORD_SCHEMA[len("struct<"):-1])
+    reader = spark.readStream.schema(RECORD_FIELDS)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path).withColumn("log_ts", parse_iso(F.col("timestamp")))

@@ -27,6 +27,7 @@ from logprism.functions.features import mac_addresses, mentions
 from logprism.operators.ordered import neighbours, running_sum
 
 MICROS_PER_MINUTE = 60_000_000
+_SEEN = "_seen"
 
 
 @dataclass(frozen=True)
@@ -78,23 +79,24 @@ def _step_rows(df: DataFrame, keys: Sequence[str], at: Sequence[Column],
 
 def _count_steps(rows: DataFrame, counts: Sequence[str], widths: Mapping[str, int],
                  keys: Sequence[str], outputs: Sequence[tuple[str, str]]) -> DataFrame:
-    """A rise row for every instant (also where nothing is counted), and fall rows."""
-    # the row number keeps an instant that no measure counts
-    per_instant = rows.groupBy(*keys, "_t").agg(
-        F.count("*").alias("_rows"), *[F.sum(c).alias(c) for c in counts]
-    )
+    """A rise row for every record (also where nothing is counted), and fall rows.
+
+    The sum per instant that follows combines them map-side, so an instant
+    shared by very many records is one row per task before it is shuffled.
+    """
     t = F.col("_t")
     anything = F.lit(False)
     for c in counts:
         anything = anything | (F.col(c) > 0)
     at, emit = [t], [F.lit(True)]
-    deltas = [{_out(w, m): F.col(m) if m in counts else None for w, m in outputs}]
+    deltas = [{_out(w, m): F.col(m) if m in counts else None for w, m in outputs}
+              | {_SEEN: F.lit(1)}]
     for width, micros in widths.items():
         at.append(t + micros + 1)
         emit.append(anything)
         deltas.append({_out(w, m): -F.col(m) if m in counts and w == width else None
-                       for w, m in outputs})
-    return _step_rows(per_instant, keys, at, deltas, emit)
+                       for w, m in outputs} | {_SEEN: None})
+    return _step_rows(rows, keys, at, deltas, emit)
 
 
 def _distinct_steps(rows: DataFrame, distincts: Sequence[str], widths: Mapping[str, int],
@@ -119,12 +121,13 @@ def _distinct_steps(rows: DataFrame, distincts: Sequence[str], widths: Mapping[s
 
     narrowest = min(widths, key=widths.get)  # a gap wider than any window is wider than this one
     at, emit = [t], [starts[narrowest]]
-    deltas = [{_out(w, m): of(m, starts[w], 1) if m in number else None for w, m in outputs}]
+    deltas = [{_out(w, m): of(m, starts[w], 1) if m in number else None for w, m in outputs}
+              | {_SEEN: None}]
     for width, micros in widths.items():
         at.append(t + micros + 1)
         emit.append(ends[width])
         deltas.append({_out(w, m): of(m, F.lit(True), -1) if m in number and w == width else None
-                       for w, m in outputs})
+                       for w, m in outputs} | {_SEEN: None})
     return _step_rows(near, keys, at, deltas, emit)
 
 
@@ -164,8 +167,13 @@ def trailing_windows(
     steps = _count_steps(rows, counts, widths, by, outputs)
     if distincts:
         steps = steps.unionByName(_distinct_steps(rows, distincts, widths, by, outputs))
-    per_instant = steps.groupBy(*by, "_at").agg(*[F.sum(c).alias(c) for c in names])
-    table = running_sum(per_instant, "_at", names, by).withColumnRenamed("_at", "_t")
+    per_instant = steps.groupBy(*by, "_at").agg(
+        F.max(_SEEN).alias(_SEEN), *[F.sum(c).alias(c) for c in names])
+    # instants at which something only leaves a window are of no record
+    table = (
+        running_sum(per_instant, "_at", names, by).filter(F.col(_SEEN) > 0).drop(_SEEN)
+        .withColumnRenamed("_at", "_t")
+    )
     return stamped.join(table, [*by, "_t"], "left").drop("_t", *by)
 
 

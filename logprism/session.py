@@ -32,6 +32,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        # no call-site lookup for every Column: plans here have hundreds of them
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **extra,
     }

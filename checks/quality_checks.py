@@ -79,10 +79,6 @@ def export_summary(spark, sf_dir):
     report = quality.validation_report(docs, quality.validate_documents(docs))
     summary = _named(la.export_summary(exports.read_export(spark, path), report))
 
-    def text(column):
-        entries = F.array_sort(F.map_entries(column))
-        return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["_v"], e["_n"])), ",")
-
     def text_of(column):
         entries = F.map_entries(column)
         return F.array_join(F.array_sort(F.transform(

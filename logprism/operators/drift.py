@@ -13,11 +13,14 @@ from logprism.operators.distribution import distribution, percentiles
 SMALLEST_SHARE = 1e-4
 
 
+def _long(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+        [], list(features), "feature", "value")
+
+
 def _value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows per feature and value: the long form is combined before any shuffle."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        [], list(features), "feature", "value")
-    return long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return _long(df, features).filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
 def _shares(counts: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -36,12 +39,10 @@ def drift_report(
     share of 0.0001.
     """
     names = [f"q{i}" for i in range(1, buckets)]
-    base = _value_counts(train, features)
-    long = train.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        [], list(features), "feature", "value")
+    spread = distribution(_long(train, features), "value", keys=["feature"])
+    base = spread.select("feature", "value", "n")
     cuts = percentiles(
-        distribution(long, "value", keys=["feature"]), "value",
-        {n: (i + 1) / buckets for i, n in enumerate(names)}, ["feature"])
+        spread, "value", {n: (i + 1) / buckets for i, n in enumerate(names)}, ["feature"])
     edges = cuts.select("feature", F.array_distinct(F.array(*names)).alias("edges"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bucket"))
     both = (

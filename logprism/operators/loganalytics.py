@@ -43,24 +43,35 @@ def time_range(logs: DataFrame, ts: str = "log_ts", keys: Sequence[str] = ()) ->
     )
 
 
-def _counts_by_file(records: DataFrame, column: str, top: int | None) -> DataFrame:
-    counted = records.groupBy("file", F.coalesce(column, F.lit("unknown")).alias("_v")).agg(
+def _distributions(records: DataFrame, top: int = 10) -> DataFrame:
+    """Per file: the most frequent processes and all levels, as maps, from one scan."""
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("_c"), F.coalesce(c, F.lit("unknown")).alias("_v"))
+        for c in ("process_name", "log_level")
+    ])
+    counted = records.select("file", F.inline(pairs)).groupBy("file", "_c", "_v").agg(
         F.count("*").alias("_n"))
-    if top is not None:
-        order = Window.partitionBy("file").orderBy(F.desc("_n"), F.asc("_v"))
-        counted = counted.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= top)
-    return counted.groupBy("file").agg(
-        F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias(f"{column}_distribution"))
+    order = Window.partitionBy("file", "_c").orderBy(F.desc("_n"), F.asc("_v"))
+    kept = counted.withColumn("_k", F.row_number().over(order)).filter(
+        (F.col("_k") <= top) | (F.col("_c") == "log_level"))
+
+    def as_map(column: str) -> Column:
+        entry = F.when(F.col("_c") == column, F.struct("_v", "_n"))
+        return F.map_from_entries(F.collect_list(entry)).alias(f"{column}_distribution")
+
+    return kept.groupBy("file").agg(as_map("process_name"), as_map("log_level"))
 
 
 def export_summary(records: DataFrame, report: DataFrame | None = None) -> DataFrame:
     """One row per export file: counts, distributions, lengths, time range, validity."""
-    base = records.groupBy("file").agg(F.count("*").alias("record_count"))
-    for part in (
-        _counts_by_file(records, "process_name", 10), _counts_by_file(records, "log_level", None),
-        message_stats(records, keys=["file"]), time_range(records, keys=["file"]),
-    ):
-        base = base.join(part, "file", "left")
+    length = F.length(F.coalesce("message", F.lit("")))
+    micros = F.unix_micros(F.col("log_ts").cast("timestamp"))
+    base = records.groupBy("file").agg(
+        F.count("*").alias("record_count"), F.avg(length).alias("avg_length"),
+        F.min(length).cast("long").alias("min_length"), F.max(length).cast("long").alias("max_length"),
+        F.min("log_ts").alias("start_time"), F.max("log_ts").alias("end_time"),
+        ((F.max(micros) - F.min(micros)) / 3.6e9).alias("duration_hours"),
+    ).join(_distributions(records), "file")
     if report is None:
         return base
     return report.select("file", "size_bytes", "is_valid").join(base, "file", "left").withColumn(

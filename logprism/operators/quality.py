@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logprism.functions import fixed
 from logprism.functions.formats import is_iso, matches, parse_iso
 from logprism.operators.ordered import neighbours
+from logprism.session import store
 
 _INTEGER = r"^(BIGINT|DECIMAL\(\d+,0\))$"
 
@@ -195,8 +196,14 @@ def duplicate_violations(fields: DataFrame) -> DataFrame:
 
 
 def validate_documents(documents: DataFrame, lenient: bool = False) -> DataFrame:
-    """All violations of export documents: file, record_idx, rule."""
+    """All violations of export documents: file, record_idx, rule.
+
+    Three of the strict rule sets read the records, so the parsed records are
+    stored once as columns; the documents are not parsed again for each.
+    """
     fields = document_fields(documents, lenient)
+    if not lenient:
+        fields = store(fields, "fields")
     parts = [document_violations(documents, lenient), record_violations(fields, lenient)]
     if not lenient:
         parts += [order_violations(fields), duplicate_violations(fields)]

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _LISTED = ("version", "model_type", "created_at", "training_samples", "status")
 
@@ -114,10 +113,9 @@ def latest_jobs(events: DataFrame) -> DataFrame:
 def list_jobs(events: DataFrame, models: DataFrame) -> DataFrame:
     """Live jobs, and finished ones known only from the model registry."""
     live = latest_jobs(events)
-    newest = Window.partitionBy("training_id").orderBy(F.desc("created_at"), F.desc("version"))
     stored = (
         models.filter(F.col("training_id").isNotNull())
-        .withColumn("_k", F.row_number().over(newest)).filter("_k = 1")
+        .groupBy("training_id").agg(F.max("created_at").alias("created_at"))
         .join(live, "training_id", "left_anti")
         .select(
             "training_id", F.lit("completed").alias("status"), F.lit(100.0).alias("progress"),

@@ -10,6 +10,7 @@ from logprism.operators import forest as forest_ops
 from logprism.operators.distribution import distribution, percentiles
 from logprism.operators.scaling import medians
 from logprism.plans.features import extract_features
+from logprism.session import store
 from logprism.sources.model_store import Model
 
 
@@ -36,8 +37,16 @@ def score_features(features: DataFrame, model: Model, stats: str = "batch") -> D
 
 
 def score_logs(logs: DataFrame, model: Model, stats: str = "batch", **columns) -> DataFrame:
-    """Features, filling, scaling and scoring of log records in one plan."""
-    return score_features(extract_features(logs, **columns), model, stats)
+    """Features, filling, scaling and scoring of log records.
+
+    Batch medians need a look at the features before scoring, so the features
+    are stored once instead of being computed again.
+    """
+    features = extract_features(logs, **columns)
+    if stats == "batch":
+        keep = [c for c in logs.columns if c not in model.scaler.features]
+        features = store(features.select(*keep, *model.scaler.features), "features")
+    return score_features(features, model, stats)
 
 
 def flag(scored: DataFrame, at: float | None = None, score: str = "anomaly_score",

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logprism.functions import fixed
 from logprism.operators import evaluate as ev
@@ -16,7 +17,7 @@ from logprism.operators.ordered import ranged_running_sum
 from logprism.operators.scaling import Scaler
 from logprism.plans.features import extract_features, feature_names
 from logprism.plans.scoring import score_features
-from logprism.session import run_dir
+from logprism.session import store
 from logprism.sources.model_store import Model, build_metadata, save_model
 
 
@@ -50,9 +51,7 @@ def fit_features(
     nodes = forest_ops.fit_forest(
         ready, names, record_id, scaler.rows, options.trees, options.sample, options.seed)
     # the node table is small; storing it keeps the trees the same in every later job
-    path = run_dir(features.sparkSession, "nodes")
-    nodes.coalesce(1).write.parquet(path)
-    nodes = features.sparkSession.read.parquet(path)
+    nodes = store(nodes.coalesce(1), "nodes")
     if options.contamination == "auto":
         offset = -0.5
     else:
@@ -101,14 +100,10 @@ def train(
     costs a re-read and not the windows again.
     """
     names = feature_names()
-    path = run_dir(spark, "features")
     keep = [record_id] + ([label] if label else [])
-    extract_features(logs).select(*keep, *names).write.parquet(path)
-    features = spark.read.parquet(path)
+    features = store(extract_features(logs).select(*keep, *names), "features")
     model = fit_features(features, names, record_id, version, options)
-    scored_path = run_dir(spark, "scored")
-    score_features(features, model).write.parquet(scored_path)
-    frames = evaluate_scored(spark.read.parquet(scored_path), label=label)
+    frames = evaluate_scored(store(score_features(features, model), "scored"), label=label)
     verdict = frames["gate"].first()
     if require and not verdict["accepted"]:
         raise Rejected("the model does not meet the requirements")
@@ -166,11 +161,8 @@ def cross_validate(
     ``cv_neg_mse`` compares the predictions -1 / 1 with the labels 0 / 1 as
     they are; ``cv_neg_mse_matched`` maps the predictions to 1 / 0 first.
     """
-    spark = features.sparkSession
     truth = F.col(label) if isinstance(label, str) else label
-    path = run_dir(spark, "folds")
-    assign_folds(features.withColumn("_y", truth), record_id, folds).write.parquet(path)
-    table = spark.read.parquet(path)
+    table = store(assign_folds(features.withColumn("_y", truth), record_id, folds), "folds")
     out = None
     for fold in range(folds):  # one fit per fold; the number is an option
         model = fit_features(table.filter(F.col("fold") != fold), names, record_id, f"fold-{fold}", options)
@@ -205,13 +197,9 @@ def permutation_importance(
     names = model.scaler.features
     ready = model.scaler.transform(model.scaler.fill(features)).select(record_id, *names)
     sample = ready.orderBy(F.xxhash64(F.col(record_id), F.lit(seed)), record_id).limit(rows)
-    path = run_dir(features.sparkSession, "importance")
-    sample.write.parquet(path)
-    sample = features.sparkSession.read.parquet(path)
+    sample = store(sample, "importance")
     vector = F.array(*[F.col(n) for n in names])
     # position of every record in each shuffle: the sample is bounded, so one window per repeat is too
-    from pyspark.sql.window import Window
-
     repeat = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
     base = sample.select(record_id, vector.alias("x"), repeat)
     first = Window.partitionBy("repeat").orderBy(record_id)

@@ -73,6 +73,17 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    For results that several jobs read: unlike a cache, the table survives the
+    loss of executors, keeps its statistics, and can be read by column.
+    """
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: recomputation can no longer change the rows."""
     shared_dir(df.sparkSession)

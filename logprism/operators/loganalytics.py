@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logprism.functions import fixed
-from logprism.sources.logs import between
+from logprism.sources.logs import within
 
 
 def top_values(logs: DataFrame, column: str, top: int = 10) -> DataFrame:
@@ -117,7 +117,7 @@ def search(
     start: str | None = None, end: str | None = None,
 ) -> DataFrame:
     """Rows of one job, one level (any case), and the closed interval [start, end]."""
-    out = logs.filter(between(F.col("log_ts"), start, end)) if start or end else logs
+    out = within(logs, start, end)
     if training_id is not None:
         out = out.filter(F.col("training_id") == training_id)
     if level is not None:
@@ -141,7 +141,7 @@ def text_search(logs: DataFrame, term: str = "", level: str | None = None, servi
                 columns: Sequence[str] = ("message", "service", "level"),
                 start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows that contain the term in any column (any case), with exact level and service."""
-    out = logs.filter(between(F.col("log_ts"), start, end)) if start or end else logs
+    out = within(logs, start, end)
     if term:
         hit = F.lit(False)
         for column in columns:

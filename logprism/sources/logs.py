@@ -40,8 +40,7 @@ def select_training_logs(
     order: Iterable[str] = ("log_ts",), ts: str = "log_ts", process: str = "process_name",
 ) -> DataFrame:
     """Records of some programs in [start, end]; with a cap, the earliest ones."""
-    out = logs.filter(F.col(process).isin(list(programs)))
-    out = out.filter(between(F.col(ts), start, end))
+    out = within(logs, start, end, ts).filter(F.col(process).isin(list(programs)))
     return out if max_records is None else out.orderBy(*order).limit(max_records)
 
 
@@ -55,6 +54,17 @@ def between(ts: Column, start: str | None, end: str | None) -> Column:
     return condition
 
 
+def within(logs: DataFrame, start: str | None, end: str | None, ts: str = "log_ts") -> DataFrame:
+    """Rows in the closed interval; tables written by day are pruned to its days."""
+    out = logs.filter(between(F.col(ts), start, end))
+    if "log_date" in logs.columns:
+        if start is not None:
+            out = out.filter(F.col("log_date") >= F.to_date(F.lit(start)))
+        if end is not None:
+            out = out.filter(F.col("log_date") <= F.to_date(F.lit(end)))
+    return out
+
+
 def parse_service_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON lines to log_ts, level, logger, message, module, function, line, extra.
 
@@ -83,7 +93,7 @@ def write_selection(logs: DataFrame, path: str, file_format: str = "json", level
     """Write the rows of one level and time span as JSON lines or CSV."""
     if file_format not in ("json", "csv"):
         raise ValueError(f"unsupported format {file_format!r}")
-    out = logs.filter(between(F.col(ts), start, end))
+    out = within(logs, start, end, ts)
     if level is not None:
         out = out.filter(F.upper(level_column) == level.upper())
     writer = out.write

@@ -169,3 +169,17 @@ def test_service_logs(spark):
     second = got["model"]
     assert (second["training_id"], second["progress"]) == ("t9", 40.0) and "training" in second["extra"]
     assert second["log_ts"] is None
+
+
+def test_day_folders_are_pruned(spark, sf_dir):
+    from checks.views import logs
+
+    path = run_dir(spark, "logs")
+    log_source.write_logs(logs(spark, sf_dir), path)
+    table = log_source.read_logs(spark, path)
+    found_rows = la.search(table, start="2024-01-10 00:00:00", end="2024-01-11 12:00:00")
+    plan = found_rows._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "log_date" in filters and ">=" in filters and "<=" in filters
+    days = {r["log_date"].day for r in found_rows.select("log_date").distinct().collect()}
+    assert days == {10, 11}

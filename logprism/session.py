@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,9 @@ SETTINGS = {
 }
 
 
+ARCHIVE = "logprism-package"
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """Single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("logprism")
@@ -39,13 +43,30 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Put the library's SQL settings on a session somebody else created."""
+    """Put the library's SQL settings on a session somebody else created, and ship the package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, wherever they run.
+
+    The archive is made next to the driver program; Spark itself copies it to
+    every executor, so it need not lie in a shared folder.
+    """
+    context = spark.sparkContext
+    if any(name.startswith(ARCHIVE) for name in context._python_includes):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="run-"), f"{ARCHIVE}-{uuid.uuid4().hex}"), "zip",
+        os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
     return spark
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, mixing, tokens, warc
+from logprism.llm import chat, language, mixing, tokens, warc
 from logprism.llm.common import prepare, table
 
 
@@ -74,6 +74,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.documents_language(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(prepare(spark), sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op6_language": op6_language,
     "op8_token_counts": op8_token_counts,
 }
 SQL: dict[str, str] = {"op1_warc": SQL_1, "op3_chat_formatting": SQL_3}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, language, mixing, tokens, warc
+from logprism.llm import chat, language, lines, mixing, tokens, warc
 from logprism.llm.common import prepare, table
 
 
@@ -82,11 +82,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(prepare(spark), sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op6_language": op6_language,
     "op8_token_counts": op8_token_counts,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op1_warc": SQL_1, "op3_chat_formatting": SQL_3}

@@ -32,7 +32,7 @@ from logprism.session import run_dir, store
 MAGIC = b"\x1f\x8b\x08"
 READ_BLOCK = 1 << 20
 #: Bytes of a range, and of an archive before the writer starts another.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 32 << 20
 ARCHIVE_BYTES = 256 << 20
 #: Bytes of a header at the most; a candidate member must show its end within them.
 HEADER_BYTES = 64 << 10
@@ -251,7 +251,9 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
 
     ranges = archives.filter("bytes > 0").select("archive", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition("archive", "start").mapInArrow(read, RECORD_DDL)
+    # one task for each range: adaptive execution would merge rows as small as these
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0]
+    return ranges.repartition(max(1, int(tasks or 0))).mapInArrow(read, RECORD_DDL)
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:

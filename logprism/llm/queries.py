@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, language, lines, mixing, tokens, warc
+from logprism.llm import chat, fingerprints, language, lines, mixing, tokens, warc
 from logprism.llm.common import prepare, table
 
 
@@ -78,6 +78,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents_language(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(prepare(spark), sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op6_language": op6_language,
+    "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }

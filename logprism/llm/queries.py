@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, fingerprints, language, lines, mixing, tokens, warc
+from logprism.llm import chat, fingerprints, jaccard, language, lines, mixing, tokens, warc
 from logprism.llm.common import prepare, table
 
 
@@ -74,6 +74,35 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(prepare(spark), sf_dir, "documents"))
+
+
+SQL_5 = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM d
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+    SELECT doc_id, doc_id AS c FROM documents
+    UNION
+    SELECT p.x, r.c FROM r JOIN p ON p.y = r.doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM s JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents_language(table(prepare(spark), sf_dir, "documents"))
 
@@ -94,9 +123,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL: dict[str, str] = {"op1_warc": SQL_1, "op3_chat_formatting": SQL_3}
+SQL: dict[str, str] = {"op1_warc": SQL_1, "op3_chat_formatting": SQL_3, "op5_jaccard_join": SQL_5}

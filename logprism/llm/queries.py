@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, fingerprints, jaccard, language, lines, mixing, tokens, warc
+from logprism.llm import chat, decontaminate, fingerprints, jaccard, language, lines, mixing, tokens, warc
 from logprism.llm.common import prepare, table
 
 
@@ -115,6 +115,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(prepare(spark), sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(prepare(spark), sf_dir, "documents"))
 
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op1_warc": SQL_1, "op3_chat_formatting": SQL_3, "op5_jaccard_join": SQL_5}

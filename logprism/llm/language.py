@@ -212,6 +212,25 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PREDICTED_DDL)
 
 
+def recognised(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
+    """The documents, with all their columns, whose language is known with a score of at least ``least``.
+
+    A null ``lang`` becomes the predicted one.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = model.value.predict([t or "" for t in batch["text"].to_pylist()])
+            keep = [k for k, (lang, score) in enumerate(zip(langs, scores)) if lang != UNKNOWN and score >= least]
+            known = pa.array([stated or lang for stated, lang in zip(batch["lang"].to_pylist(), langs)])
+            columns = [known.cast(batch["lang"].type) if c == "lang" else batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     """The fold kept from training: crc32 of the id as text leaves 2 by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -93,10 +93,10 @@ def densified(minima: Column) -> Column:
 
 
 def packed(values: Column) -> Column:
-    """One hexadecimal digit for each bin."""
+    """One hexadecimal digit for each bin; the bin is mixed in, so that a borrowed value has digits of its own."""
     digit = (1 << VALUE_BITS) - 1
-    return F.array_join(F.transform(values, lambda v: F.substring(
-        F.lit("0123456789abcdef"), F.xxhash64(v).bitwiseAND(F.lit(digit)).cast("int") + 1, F.lit(1))), "")
+    return F.array_join(F.transform(values, lambda v, j: F.substring(
+        F.lit("0123456789abcdef"), F.xxhash64(v, j).bitwiseAND(F.lit(digit)).cast("int") + 1, F.lit(1))), "")
 
 
 def fingerprint(text: Column) -> Column:

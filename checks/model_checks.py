@@ -72,11 +72,24 @@ def forest_scores(spark, sf_dir):
 
 
 def forest_sample(spark, sf_dir):
-    """Rows per tree: the sample size, whatever the table holds."""
-    rows = logs(spark, sf_dir).select("record_id")
-    count = rows.count()
-    picked = forest_ops.sample_rows(rows, "record_id", count, fixed.TREES, fixed.SAMPLE_PER_TREE, fixed.SEED)
-    return picked.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("different"))
+    """Rows per tree of several tables and sizes: the sample size, or all rows, whatever the table holds."""
+    out = None
+    for table, key, size in (("events", "event_id", 256), ("events", "event_id", 16), ("embeddings", "vec_id", 256)):
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("record_id"))
+        picked = forest_ops.sample_rows(rows, "record_id", rows.count(), fixed.TREES, size, fixed.SEED)
+        counts = picked.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("different"))
+        counts = counts.select(F.lit(table).alias("sampled"), F.lit(size).alias("size"), "*")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def train_lof(spark, sf_dir):
+    """The second model type through a training run: its predictions at the cut."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    options = training.Options(model_type="local_outlier_factor", neighbours=10)
+    _, scored, offset = training.score_outlier_factor(customers, ["balance", "nation"], "c_custkey", options)
+    return _rounded(scored.select("c_custkey", F.col("anomaly_score").alias("lof"), "prediction"))
 
 
 def train_report(spark, sf_dir):
@@ -196,6 +209,7 @@ QUERIES = {
     "top_anomalies": _shown("anomaly_score"),
     "cv_folds": cv_folds,
     "forest_sample": forest_sample,
+    "train_lof": train_lof,
     "forest_scores": forest_scores,
     "train_report": train_report,
     "cross_validation": cross_validation,
@@ -267,7 +281,15 @@ SQL = {
     "top_anomalies": with_logs("""select record_id, process_name, message_start from (select l.record_id, process_name, substring(message, 1, 100) as message_start
         from logs l, (select quantile_cont(metric, 0.9) as t from logs) where metric > t order by metric desc, record_id limit 5)"""),
     "cv_folds": with_logs("select record_id, cast(ntile(5) over (order by record_id) - 1 as integer) as fold from logs"),
-    "forest_sample": "select tree, least(256, n) as n, least(256, n) as different from (select unnest(range(0, 100)) as tree), (select count(*) as n from events)",
+    "forest_sample": """select sampled, size, tree, least(size, n) as n, least(size, n) as different
+        from (select unnest(range(0, 100)) as tree), (
+            select 'events' as sampled, 256 as size, count(*) as n from events
+            union all select 'events', 16, count(*) from events
+            union all select 'embeddings', 256, count(*) from embeddings)""",
+    "train_lof": _lof("""select c_custkey as id, [
+            (c_acctbal - avg(c_acctbal) over ()) / stddev_pop(c_acctbal) over (),
+            (c_nationkey - avg(c_nationkey) over ()) / stddev_pop(c_nationkey) over ()] as x from customer""", 10)
+        + " select id as c_custkey, round(lof, 6) as lof, case when -lof < (select quantile_cont(-lof, 0.1) from fac) then -1 else 1 end as prediction from fac",
     "lof_embeddings": _lof("select vec_id as id, cast(embedding as double[]) as x from embeddings", 20) + """
         select id as vec_id, round(lof, 6) as lof, case when -lof < (select quantile_cont(-lof, 0.1) from fac) then -1 else 1 end as prediction from fac""",
     "lof_customers": _lof("select c_custkey as id, [cast(floor(c_acctbal / 100) as double), cast(c_nationkey as double)] as x from customer", 10)

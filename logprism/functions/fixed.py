@@ -9,7 +9,7 @@ EXPORT_FORMAT = "json"
 
 # --- log levels ------------------------------------------------------------
 LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
-LEVEL_NUMBERS = {"DEBUG": 0, "INFO": 1, "WARNING": 2, "ERROR": 3, "CRITICAL": 4}
+LEVEL_NUMBERS = {level: number for number, level in enumerate(LEVELS)}
 LEVEL_DEFAULT = 1
 
 # --- message patterns ------------------------------------------------------
@@ -44,9 +44,11 @@ IPV4_FORMAT = (
     r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
 )
+#: year, dash, month, day, hour, colon, minute, second, fraction, offset; extended and basic forms
 ISO_FORMAT = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+    r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})"
+    r"(?:[^0-9]([0-9]{2})(?:(:?)([0-9]{2})(?:\6([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+    r"(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?$"
 )
 
 # --- clock -----------------------------------------------------------------
@@ -78,7 +80,6 @@ SEED = 42
 NEIGHBOURS = 20
 SCORE_QUANTILE = 0.9
 CV_FOLDS = 5
-IMPORTANCE_ROWS = 1000
 IMPORTANCE_REPEATS = 5
 
 # --- evaluation limits -----------------------------------------------------

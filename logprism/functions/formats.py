@@ -13,9 +13,20 @@ from logprism.functions import fixed
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to TIMESTAMP, null when the text is not ISO-8601.
 
-    A bare cast also takes '2024' or '10:00', so the shape is tested first.
+    A bare cast also takes '2024' or '10:00' and no basic forms, so the parts
+    are taken by pattern and put together again.  Fractions are cut to
+    microseconds; missing minutes and seconds are 0.
     """
-    return F.when(text.rlike(fixed.ISO_FORMAT), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
+    def part(group: int, default: str) -> Column:
+        found = F.regexp_extract(text, fixed.ISO_FORMAT, group)
+        return F.when(found == "", default).otherwise(found)
+
+    offset = F.regexp_replace(part(10, ""), r"^([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
+    offset = F.when(offset.rlike(r"^[+-][0-9]{2}$"), F.concat(offset, F.lit(":00"))).otherwise(offset)
+    whole = F.concat(
+        part(1, ""), F.lit("-"), part(3, ""), F.lit("-"), part(4, ""), F.lit("T"), part(5, "00"), F.lit(":"),
+        part(7, "00"), F.lit(":"), part(8, "00"), F.lit("."), F.substring(part(9, "0"), 1, 6), offset)
+    return F.when(text.rlike(fixed.ISO_FORMAT), F.try_to_timestamp(whole))
 
 
 def is_iso(text: Column) -> Column:

@@ -1,10 +1,11 @@
 """Isolation forest (Liu, Ting, Zhou 2008) as Spark jobs.
 
-Fit: every row decides by hashes which trees it is a candidate for, so one
-scan picks about 1.6 x 256 candidates per tree, and only these are shuffled,
-whatever the table's size.  Each tree then keeps its 256 smallest hashes and is
-built in its own task.  The result is a node table of at most
-trees x (2 x 256 - 1) rows: a bound set by the options, so it may be broadcast.
+Fit: a tree's sample are the rows with the smallest hashes of record and tree.
+One scan keeps, by a cut on that same hash, a few more candidates than needed,
+and only these are shuffled, whatever the table's size.  Trees that come out
+short widen the cut, so the cut never changes the sample.  Each tree is built
+in its own task.  The result is a node table of at most trees x (2 x 256 - 1)
+rows: a bound set by the options, so it may be broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logprism.functions import fixed
+from logprism.session import store
 
-OVERSAMPLING = 1.6
+#: Candidates above the sample size, in standard deviations of their number.
+SPARE_DEVIATIONS = 5.0
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, "
     "left_node int, right_node int, size int, depth int"
@@ -40,26 +43,25 @@ def average_path(n):
 
 
 def sample_rows(df: DataFrame, record_id: str, rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """``size`` rows per tree without replacement: columns of ``df`` plus ``tree``."""
-    if rows <= OVERSAMPLING * size:
-        member = F.sequence(F.lit(0), F.lit(trees - 1))
-        candidates = df.withColumn("tree", F.explode(member))
-    else:
-        draws = trees * OVERSAMPLING * size / rows
-        whole, part = int(draws), draws - int(draws)
-        chance = F.pmod(F.xxhash64(F.col(record_id), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        count = F.lit(whole) + (chance < part).cast("int")
-        picks = F.transform(
-            F.sequence(F.lit(1), F.col("_draws")),
-            lambda j: F.pmod(F.xxhash64(F.col(record_id), F.lit(seed + 1), j), F.lit(trees)).cast("int"),
-        )
-        candidates = (
-            df.withColumn("_draws", count).filter("_draws > 0")
-            .withColumn("tree", F.explode(F.array_distinct(picks))).drop("_draws")
-        )
-    order = Window.partitionBy("tree").orderBy(
-        F.xxhash64(F.col(record_id), F.col("tree"), F.lit(seed + 2)), F.col(record_id)
-    )
+    """``size`` rows per tree, or all, without replacement: columns of ``df`` plus ``tree`` and ``_rank``.
+
+    A tree's rows are those with the smallest hashes; ties go by record.
+    """
+    def draw(tree: Column) -> Column:
+        return F.xxhash64(F.col(record_id), tree, F.lit(seed))
+
+    wanted = min(size, rows)
+    share = min(1.0, (wanted + SPARE_DEVIATIONS * math.sqrt(wanted) + 1) / max(rows, 1))
+    while True:
+        cut = F.lit(min(int(-2 ** 63 + share * 2 ** 64), 2 ** 63 - 1))
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) <= cut)
+        candidates = store(df.withColumn("tree", F.explode(chosen)), "candidates")
+        counts = candidates.groupBy("tree").agg(F.count("*").alias("n")).agg(
+            F.count("*").alias("trees"), F.min("n").alias("least")).first()
+        if share >= 1.0 or (counts["trees"] == trees and counts["least"] >= wanted):
+            break
+        share = min(1.0, 2 * share)
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), F.col(record_id))
     return candidates.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size)
 
 
@@ -130,7 +132,7 @@ class Forest:
         sizes = table.groupby("tree").size()
         starts = sizes.cumsum() - sizes
         base = table["tree"].map(starts).to_numpy()
-        sample = int(table.loc[table["node"] == 0, "size"].iloc[0])
+        sample = float(table.loc[table["node"] == 0, "size"].mean())  # the same for all trees
         return Forest(
             tuple(features),
             np.maximum(table["feature"].to_numpy(), 0),

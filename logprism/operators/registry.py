@@ -76,15 +76,13 @@ def search_models(models: DataFrame, term: str = "", status: str | None = None,
 
 def storage_and_version(models: DataFrame, size: str = "size_bytes") -> DataFrame:
     """Bytes of all models and the highest dotted version."""
-    parts = F.transform(
-        F.split(F.regexp_extract("version", r"([0-9.]+)", 1), r"\."),
-        lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")),
-    )
     # trailing zeros do not make a version higher: 1.2 equals 1.2.0
-    ranked = models.withColumn("_v", F.concat(parts, F.array_repeat(F.lit(0).cast("long"), 8)))
-    return ranked.agg(
+    number = F.regexp_replace(F.regexp_extract("version", r"([0-9.]+)", 1), r"(\.0*)+$", "")
+    parts = F.transform(
+        F.split(number, r"\."), lambda x: F.coalesce(x.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
+    return models.agg(
         F.coalesce(F.sum(size), F.lit(0)).alias("storage_bytes"),
-        F.max_by("version", F.struct(F.slice("_v", 1, 8), "version")).alias("latest_version"),
+        F.max_by("version", F.struct(parts, "version")).alias("latest_version"),
     )
 
 

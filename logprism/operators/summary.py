@@ -22,8 +22,11 @@ SUMMARY_NAMES = (
 
 
 def _number(message: Column, pattern: str) -> Column:
-    """First number after a label, null if there is none (or it is out of range)."""
-    return F.regexp_extract(message, f"(?i){pattern}", 1).try_cast("long")
+    """First number after a label, null if there is none (or it is out of range).
+
+    As a double: sums and squares of what a message claims may leave the range of a long.
+    """
+    return F.regexp_extract(message, f"(?i){pattern}", 1).try_cast("long").cast("double")
 
 
 def event_kind(message: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
@@ -13,6 +15,7 @@ from logprism.functions import fixed
 from logprism.operators import evaluate as ev
 from logprism.operators import forest as forest_ops
 from logprism.operators.distribution import distribution, percentiles
+from logprism.operators.lof import local_outlier_factor
 from logprism.operators.ordered import ranged_running_sum
 from logprism.operators.scaling import Scaler
 from logprism.plans.features import extract_features, feature_names
@@ -21,6 +24,10 @@ from logprism.session import store
 from logprism.sources.model_store import Model, build_metadata, save_model
 
 
+#: Records of one block of a shuffle, at about the most.
+SHUFFLE_BLOCK = 4096
+
+
 @dataclass(frozen=True)
 class Options:
     """Options of a training run."""
@@ -28,6 +35,7 @@ class Options:
     model_type: str = "isolation_forest"
     trees: int = fixed.TREES
     sample: int = fixed.SAMPLE_PER_TREE
+    neighbours: int = fixed.NEIGHBOURS
     contamination: float | str = fixed.CONTAMINATION
     seed: int = fixed.SEED
     all_medians: bool = False
@@ -43,7 +51,7 @@ def fit_features(
 ) -> Model:
     """Scaler, forest and cut from a feature frame.  The frame should be stored or cached."""
     if options.model_type == "local_outlier_factor":
-        raise ValueError("local_outlier_factor scores the rows it is given: see operators.lof")
+        raise ValueError("local_outlier_factor scores the rows it is fitted on: use train or score_outlier_factor")
     if options.model_type != "isolation_forest":
         raise ValueError(f"unsupported model type {options.model_type!r}")
     scaler = Scaler.fit(features, names, options.all_medians)
@@ -62,6 +70,26 @@ def fit_features(
     return Model(version, scaler, nodes, offset)
 
 
+def score_outlier_factor(
+    features: DataFrame, names: Sequence[str], record_id: str, options: Options = Options(),
+) -> tuple[Scaler, DataFrame, float]:
+    """Scaler, scored rows and cut of the second model type, which scores the rows it is fitted on.
+
+    ``anomaly_score`` is the outlier factor, ``decision`` the distance of its
+    negative to the cut, ``prediction`` -1 or 1, as for the forest.
+    """
+    scaler = Scaler.fit(features, names, options.all_medians)
+    ready = scaler.transform(scaler.fill(features))
+    share = fixed.CONTAMINATION if options.contamination == "auto" else float(options.contamination)
+    keep = [c for c in features.columns if c not in names]
+    scored = store(local_outlier_factor(
+        ready.select(*keep, *names), names, record_id, options.neighbours, share, options.seed
+    ).select(*keep, F.col("lof").alias("anomaly_score")), "scored")
+    offset = -1.5 if options.contamination == "auto" else percentiles(distribution(
+        scored.select((-F.col("anomaly_score")).alias("value")), "value"), "value", {"cut": share}).first()["cut"]
+    return scaler, forest_ops.predict(scored, offset), offset
+
+
 def evaluate_scored(scored: DataFrame, score: str = "anomaly_score", label: str | None = None) -> dict[str, DataFrame]:
     """All evaluation frames of a scored frame.
 
@@ -71,7 +99,7 @@ def evaluate_scored(scored: DataFrame, score: str = "anomaly_score", label: str
     supervised = label is not None
     y = F.col(label) if supervised else ev.from_signed_labels(F.col("prediction"))
     frame = scored.select(F.col(score).alias("score"), y.cast("int").alias("label"))
-    curve = ev.score_curve(frame).persist()
+    curve = store(ev.score_curve(frame), "curve")
     stats = ev.score_stats(frame, curve)
     metrics = ev.supervised_metrics(curve) if supervised else stats
     checks = ev.supervised_checks(metrics) if supervised else ev.unsupervised_checks(metrics)
@@ -92,34 +120,63 @@ def train(
     spark: SparkSession, logs: DataFrame, record_id: str, version: str, created_at: str,
     root: str | None = None, options: Options = Options(), label: str | None = None,
     export_file: str | None = None, training_id: str | None = None, require: bool = True,
+    export_size: int | None = None, folds: int | None = None, importance: bool = False,
 ) -> tuple[Model, dict[str, DataFrame], DataFrame]:
     """Features, fit, evaluation, gate and (with ``root``) storage.
 
     Returns the model, the evaluation frames and the one-row report.  The
     features are written once to the shared folder, so that a lost executor
-    costs a re-read and not the windows again.
+    costs a re-read and not the windows again.  ``folds`` asks for cross
+    validation of a forest (against the label, or its own predictions),
+    ``importance`` for the importance of its features; both go to the metadata
+    with the size of the export and the duration.  An outlier-factor model has
+    no nodes; it describes the rows it was fitted on and is not stored.
     """
+    started = time.monotonic()
+    if options.model_type not in ("isolation_forest", "local_outlier_factor"):
+        raise ValueError(f"unsupported model type {options.model_type!r}")
+    is_forest = options.model_type == "isolation_forest"
+    if not is_forest and (root is not None or folds or importance):
+        raise ValueError("only forests are stored, cross-validated or asked for importance")
     names = feature_names()
     keep = [record_id] + ([label] if label else [])
     features = store(extract_features(logs).select(*keep, *names), "features")
-    model = fit_features(features, names, record_id, version, options)
-    frames = evaluate_scored(store(score_features(features, model), "scored"), label=label)
+    if is_forest:
+        model = fit_features(features, names, record_id, version, options)
+        scored = store(score_features(features, model), "scored")
+    else:
+        scaler, scored, offset = score_outlier_factor(features, names, record_id, options)
+        model = Model(version, scaler, None, offset)
+    frames = evaluate_scored(scored, label=label)
+    frames["scored"] = scored
     verdict = frames["gate"].first()
     if require and not verdict["accepted"]:
         raise Rejected("the model does not meet the requirements")
     metrics = frames["metrics"].first().asDict()
     spread = {**frames["score_percentiles"].first().asDict(), **frames["score_stats"].first().asDict()}
+    cv_score = weights = None
+    if folds:
+        truth = features if label else features.join(
+            scored.select(record_id, ev.from_signed_labels(F.col("prediction")).alias("_label")), record_id)
+        cv_score = cross_validation_summary(cross_validate(
+            truth, names, record_id, label or "_label", options, folds)).first()["mean_cv_score"]
+    if importance:
+        weights = {r["feature"]: r["importance"] for r in permutation_importance(features, model, record_id).collect()}
+    duration = time.monotonic() - started
     metadata = build_metadata(
         version, created_at, options.model_type, model.scaler.rows, names, asdict(options), metrics,
-        spread, (verdict["passed_checks"], verdict["total_checks"]), export_file, training_id)
+        spread, (verdict["passed_checks"], verdict["total_checks"]), export_file, training_id,
+        export_size, duration, cv_score, weights)
     model = Model(model.version, model.scaler, model.nodes, model.offset, metadata)
     if root is not None:
         save_model(spark, model, root)
-    return model, frames, training_report(model, frames, options.model_type)
+    return model, frames, training_report(model, frames, options.model_type, duration)
 
 
-def training_report(model: Model, frames: dict[str, DataFrame], model_type: str) -> DataFrame:
-    """One row: status, model, number of samples and features, metrics, checks, advice."""
+def training_report(
+    model: Model, frames: dict[str, DataFrame], model_type: str, duration: float | None = None,
+) -> DataFrame:
+    """One row: status, model, number of samples and features, duration, metrics, checks, advice."""
     metrics = frames["metrics"]
     values = F.map_from_arrays(
         F.array(*[F.lit(c) for c in metrics.columns]),
@@ -132,6 +189,7 @@ def training_report(model: Model, frames: dict[str, DataFrame], model_type: str)
         F.lit("completed").alias("status"), F.lit(model.version).alias("version"),
         F.lit(model_type).alias("model_type"), F.lit(model.scaler.rows).cast("long").alias("training_samples"),
         F.lit(len(model.scaler.features)).alias("feature_count"),
+        F.lit(duration).cast("double").alias("training_duration"),
         F.array(*[F.lit(f) for f in model.scaler.features]).alias("feature_names"),
         values.alias("metrics"), checks.scalar().alias("checks"), advice.scalar().alias("recommendations"),
     )
@@ -149,6 +207,9 @@ def assign_folds(df: DataFrame, order: str, folds: int = fixed.CV_FOLDS) -> Data
     edge = big * (small + 1)
     fold = F.when(position < edge, F.floor(position / (small + 1))).otherwise(
         big + F.floor((position - edge) / F.greatest(small, F.lit(1))))
+    counted = df.agg(F.count("*").alias("rows"), F.count_distinct(order).alias("different")).first()
+    if counted["different"] < counted["rows"]:
+        raise ValueError(f"{order} must be unique and never null to assign folds by it")
     return df.join(ranks.select(order, fold.cast("int").alias("fold")), order)
 
 
@@ -185,40 +246,38 @@ def cross_validation_summary(folds: DataFrame) -> DataFrame:
 
 
 def permutation_importance(
-    features: DataFrame, model: Model, record_id: str, rows: int = fixed.IMPORTANCE_ROWS,
+    features: DataFrame, model: Model, record_id: str, rows: int | None = None,
     repeats: int = fixed.IMPORTANCE_REPEATS, seed: int = fixed.SEED,
 ) -> DataFrame:
     """Mean absolute change of the score when one feature is shuffled.
 
-    Works on a sample of at most ``rows`` records (smallest hashes), which is
-    what the operator is defined on; the sample is shuffled by hash order and
-    the permuted copies are scored in one distributed pass.
+    All records are used unless ``rows`` asks for a sample (the smallest
+    hashes).  A shuffle deals the records to random blocks of about
+    ``SHUFFLE_BLOCK`` and permutes each, so no window spans a whole repeat.
+    The scores before are computed once.
     """
     names = model.scaler.features
     ready = model.scaler.transform(model.scaler.fill(features)).select(record_id, *names)
-    sample = ready.orderBy(F.xxhash64(F.col(record_id), F.lit(seed)), record_id).limit(rows)
-    sample = store(sample, "importance")
+    if rows is not None:
+        ready = ready.orderBy(F.xxhash64(F.col(record_id), F.lit(seed)), record_id).limit(rows)
+    walker = model.forest()
+    sample = store(forest_ops.forest_score(ready, walker, "before"), "importance")
+    blocks = max(1, math.ceil(sample.count() / SHUFFLE_BLOCK))
     vector = F.array(*[F.col(n) for n in names])
-    # position of every record in each shuffle: the sample is bounded, so one window per repeat is too
     repeat = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
-    base = sample.select(record_id, vector.alias("x"), repeat)
-    first = Window.partitionBy("repeat").orderBy(record_id)
-    second = Window.partitionBy("repeat").orderBy(
+    base = sample.select(record_id, "before", vector.alias("x"), repeat)
+    base = base.withColumn("block", F.pmod(F.xxhash64(record_id, "repeat", F.lit(seed + 2)), F.lit(blocks)))
+    first = Window.partitionBy("repeat", "block").orderBy(record_id)
+    second = Window.partitionBy("repeat", "block").orderBy(
         F.xxhash64(F.col(record_id), F.col("repeat"), F.lit(seed + 1)), record_id)
     left = base.withColumn("k", F.row_number().over(first))
-    right = base.select("repeat", F.row_number().over(second).alias("k"), F.col("x").alias("other"))
-    pairs = left.join(right, ["repeat", "k"])
+    right = base.select("repeat", "block", F.row_number().over(second).alias("k"), F.col("x").alias("other"))
+    pairs = left.join(right, ["repeat", "block", "k"])
     swapped = pairs.select(
-        "repeat", "x", "other", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f"))
-    changed = swapped.select(
-        "repeat", "f", *[F.col("x")[i].alias(f"b_{n}") for i, n in enumerate(names)],
-        *[F.when(F.col("f") == i, F.col("other")[i]).otherwise(F.col("x")[i]).alias(n)
-          for i, n in enumerate(names)],
-    )
-    walker = model.forest()
-    after = forest_ops.forest_score(changed, walker, "after").select(
-        "repeat", "f", "after", *[F.col(f"b_{n}").alias(n) for n in names])
-    both = forest_ops.forest_score(after, walker, "before")
+        "before", "x", "other", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f"))
+    changed = swapped.select("before", "f", *[
+        F.when(F.col("f") == i, F.col("other")[i]).otherwise(F.col("x")[i]).alias(n) for i, n in enumerate(names)])
+    both = forest_ops.forest_score(changed, walker, "after")
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1)
     return both.groupBy("f").agg(F.avg(F.abs(F.col("after") - F.col("before"))).alias("importance")).select(
         named.alias("feature"), "importance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,6 +27,8 @@ SETTINGS = {
 
 
 ARCHIVE = "logprism-package"
+#: Applications that have been given the package.
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -60,13 +63,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
     every executor, so it need not lie in a shared folder.
     """
     context = spark.sparkContext
-    if any(name.startswith(ARCHIVE) for name in context._python_includes):
+    if context.applicationId in _SHIPPED:
         return spark
     package = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(
         os.path.join(tempfile.mkdtemp(prefix="run-"), f"{ARCHIVE}-{uuid.uuid4().hex}"), "zip",
         os.path.dirname(package), os.path.basename(package))
     context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
     return spark
 
 
@@ -81,7 +85,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured is None:
         configured = context.getCheckpointDir()
     if configured is None:
-        if not context.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", context.master) is None:  # local-cluster is a cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="logprism-")
     if context.getCheckpointDir() is None:

@@ -59,8 +59,9 @@ FAN = 2
 #: Bits of the filter before the join that fetches shingle sets.
 FILTER_BITS = 1 << 24
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bits", pa.binary())])
-SIGNED_DDL = "doc_id long, n_shingles long, class long, bits binary"
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()),
+                    ("slot", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+SIGNED_DDL = "doc_id long, n_shingles long, class long, bits binary, slot int, part int, data binary"
 PREFIX = pa.schema([("shingle", pa.int64()), ("class", pa.int64())])
 PREFIX_DDL = "shingle long, class long"
 SETS = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
@@ -114,44 +115,49 @@ def sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
             yield doc_id, shingle_set(text.as_py(), size)
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, class, bits`` of every document."""
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
+
+
+def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, n_shingles, class, bits`` of every document, and how many texts have the shingles of each counter.
+
+    Both come from one pass over the texts; a task's counters are rows of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, waiting, pending = np.zeros(COUNTERS, np.uint32), [], 0
         rows, held = [], 0
         for doc_id, found in sets_of(batches, size):
             bits = np.packbits(signature(found), bitorder="little").tobytes() if len(found) else b""
-            rows.append((doc_id, len(found), class_of(found), bits))
+            rows.append((doc_id, len(found), class_of(found), bits, None, None, None))
             held += len(bits) + 100
             if held > 4 << 20:
                 yield arrow_rows(SIGNED, list(zip(*rows)))
                 rows, held = [], 0
+            waiting.append(counter_of(found))
+            pending += len(found)
+            if pending > COUNTERS:
+                counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+                waiting, pending = [], 0
         if rows:
             yield arrow_rows(SIGNED, list(zip(*rows)))
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+        for batch in [slot_rows(counts, SLOT_COUNT)]:
+            n = batch.num_rows
+            yield arrow_rows(SIGNED, [[None] * n, [None] * n, [None] * n, [None] * n,
+                                      batch["slot"], batch["part"], batch["data"]])
 
-    return docs.mapInArrow(run, SIGNED_DDL)
-
-
-def counter_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(44)).astype(np.int64)
-
+    both = store(docs.mapInArrow(run, SIGNED_DDL), "signed")
+    slots = both.filter("slot is not null").select("slot", "part", "data")
+    counters = reduce_slots(slots, "uint32", saturating, SLOT_COUNT)
+    return both.filter("slot is null").select("doc_id", "n_shingles", "class", "bits"), counters
 
-def shingle_counters(docs: DataFrame, size: int) -> np.ndarray:
-    """In how many texts the shingles of each counter are, over all texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
-        for _, found in sets_of(batches, size):
-            waiting.append(counter_of(found))
-            held += len(found)
-            if held > COUNTERS:
-                counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-                waiting, held = [], 0
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-        yield slot_rows(counts, SLOT_COUNT)
-
-    return reduce_slots(docs.mapInArrow(run, SLOTS_DDL), "int64", np.add, SLOT_COUNT)
+def saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum that stays at the highest number; only the order of magnitude is used."""
+    return np.minimum(a.astype(np.uint64) + b, np.uint64(2 ** 32 - 1)).astype(np.uint32)
 
 
 def prefixes(docs: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -212,36 +218,50 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, PAIRS_DDL)
 
 
-def filter_places(classes: np.ndarray) -> list[np.ndarray]:
-    values = classes.view(np.uint64)
+def filter_places(values: np.ndarray) -> list[np.ndarray]:
+    values = values.view(np.uint64)
     return [(mix(values ^ np.uint64(salt)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for salt in (1, 2, 3)]
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``class, shingles`` of the classes in ``wanted``, made again from the texts.
-
-    A Bloom filter of a fixed size keeps the sets of most other texts from the
-    shuffle; the join decides.
-    """
+def bloom_filter(values: DataFrame, column: str):
+    """Broadcast Bloom filter of a fixed size over a column of longs; it stands before joins, which decide."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for at in filter_places(batch["class"].to_numpy(zero_copy_only=False)):
+            for at in filter_places(batch[0].to_numpy(zero_copy_only=False)):
                 bits[at] = True
         yield slot_rows(np.packbits(bits), SLOT_COUNT)
 
-    packed = reduce_slots(wanted.select("class").mapInArrow(mark, SLOTS_DDL), "uint8", np.bitwise_or, SLOT_COUNT)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    rows = values.select(column).filter(F.col(column).isNotNull())
+    packed = reduce_slots(rows.mapInArrow(mark, SLOTS_DDL), "uint8", np.bitwise_or, SLOT_COUNT)
+    return values.sparkSession.sparkContext.broadcast(packed)
+
+
+def held_by(shared) -> np.ndarray:
+    return np.unpackbits(shared.value).astype(bool) if len(shared.value) else np.zeros(FILTER_BITS, bool)
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``class, shingles`` of the rows ``class, doc_id`` in ``wanted``, made again from the texts.
+
+    Only documents that a filter of the wanted ids lets through, and those
+    without an id, are read into sets.
+    """
+    shared = bloom_filter(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool) if len(shared.value) else np.zeros(FILTER_BITS, bool)
+        bits = held_by(shared)
         rows, held = [], 0
-        for _, found in sets_of(batches, size):
-            key = np.array([class_of(found)])
-            if len(found) and all(bits[at[0]] for at in filter_places(key)):
-                rows.append((int(key[0]), found.tobytes()))
-                held += found.nbytes
+        for batch in batches:
+            ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
+            passed = np.logical_and.reduce([bits[at] for at in filter_places(ids)]) | ~np.asarray(
+                batch["doc_id"].is_valid().to_numpy(zero_copy_only=False), bool)
+            chosen = batch.take(pa.array(np.flatnonzero(passed)))
+            for _, found in sets_of([chosen], size):
+                if len(found):
+                    rows.append((class_of(found), found.tobytes()))
+                    held += found.nbytes
                 if held > 4 << 20:
                     yield arrow_rows(SETS, list(zip(*rows)))
                     rows, held = [], 0
@@ -252,9 +272,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.dropDuplicates(["class"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets reach the similarity."""
-    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = store(classes.select("class", "doc_id").join(wanted, "class", "left_semi"), "wanted")
     sets = store(class_sets(docs, wanted, size), "sets")
     sides = pairs
     for side in ("a", "b"):
@@ -326,13 +347,14 @@ def traverse(a: Node, b: Node, percent: int) -> Iterator[tuple[int, int]]:
             stack += [(x, y) for x in a.children or [a] for y in b.children or [b]]
 
 
-def across_components(members: DataFrame, percent: int) -> DataFrame:
+def across_components(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of classes of one root and different components that the signature trees leave.
 
-    Rows ``root, class, n_shingles, bits, component``.  A root's classes are
-    cut by size, and each cut into blocks; blocks of one cut or of
-    neighbouring ones meet.
+    Rows ``root, class, component``.  A root's classes are cut by size, and
+    each cut into blocks; blocks of one cut or of neighbouring ones meet.  The
+    bitmaps are sent only to meetings of several components.
     """
+    members = members.join(classes.select("class", "n_shingles"), "class")
     # a step in size of 100 / percent: linked classes are in one step or in neighbouring ones
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     placed = members.withColumn("step", step)
@@ -358,8 +380,16 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
     none = F.array().cast("array<struct<s1:int,b1:int,s2:int,b2:int>>")
     meetings = F.concat(inside, F.coalesce(up, none), F.coalesce(down, none))
     sent = placed.withColumn("own", own).withColumn("at", F.explode(meetings)).select(
-        "root", "at.s1", "at.b1", "at.s2", "at.b2", "step", "own", "class", "n_shingles", "bits", "component")
+        "root", "at.s1", "at.b1", "at.s2", "at.b2", "step", "own", "class", "n_shingles", "component")
     keys = ["root", "s1", "b1", "s2", "b2"]
+    # a meeting needs two components, and a class on either side
+    left = (F.col("step") == F.col("s1")) & (F.col("own") == F.col("b1"))
+    right = (F.col("step") == F.col("s2")) & (F.col("own") == F.col("b2"))
+    sent = store(sent, "meetings")
+    useful = sent.groupBy(*keys).agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"),
+        F.max(left).alias("_left"), F.max(right).alias("_right")).filter("_low < _high and _left and _right").select(*keys)
+    sent = sent.join(useful, keys).join(classes.select("class", "bits"), "class")
 
     def run(group: pa.Table) -> pa.Table:
         key = {k: group[k][0].as_py() for k in keys}
@@ -383,14 +413,23 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
     return sent.groupBy(*keys).applyInArrow(run, PAIRS_DDL)
 
 
-def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node, component`` over the classes (rows ``class, n_shingles, bits``) that have a link."""
-    counters = shingle_counters(docs, size)
-    keyed = prefixes(docs, counters, size, percent)
-    roots = keyed.groupBy("shingle").agg(F.min("class").alias("root"), F.max("class").alias("_high"))
+def class_components(
+    docs: DataFrame, classes: DataFrame, counters: np.ndarray, size: int, percent: int,
+) -> DataFrame:
+    """``node, component`` over the classes (rows ``class, n_shingles, bits, doc_id``) that have a link."""
+    keyed = store(prefixes(docs, counters, size, percent), "prefixes")
+    roots = store(keyed.groupBy("shingle").agg(
+        F.min("class").alias("root"), F.max("class").alias("_high")).filter("root < _high").select("shingle", "root"), "buckets")
+    shared = bloom_filter(roots, "shingle")
+
+    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held_by(shared)
+        for batch in batches:
+            places = filter_places(batch["shingle"].to_numpy(zero_copy_only=False))
+            yield batch.take(pa.array(np.flatnonzero(np.logical_and.reduce([bits[at] for at in places]))))
+
     stars = store(
-        keyed.join(roots.filter("root < _high").select("shingle", "root"), "shingle")
-        .select("class", "root").distinct(), "roots")
+        keyed.mapInArrow(in_buckets, PREFIX_DDL).join(roots, "shingle").select("class", "root").distinct(), "roots")
 
     def with_bits(pairs: DataFrame) -> DataFrame:
         for side, n in (("a", "n_a"), ("b", "n_b")):
@@ -400,25 +439,25 @@ def class_components(docs: DataFrame, classes: DataFrame, size: int, percent: in
 
     first = with_bits(stars.filter("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")))
     tried = store(possible(first, percent), "pairs")
-    links = store(verified(tried, docs, size, percent), "edges")
+    links = store(verified(tried, classes, docs, size, percent), "edges")
     found = connected_components(links)
 
     labelled = stars.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     mixed = labelled.groupBy("root").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    rest = labelled.join(mixed.filter("_low < _high").select("root"), "root").join(classes, "class")
-    pairs = across_components(rest, percent).distinct()
-    more = verified(store(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), docs, size, percent)
+    rest = labelled.join(mixed.filter("_low < _high").select("root"), "root")
+    pairs = across_components(rest, classes, percent).distinct()
+    more = verified(store(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), classes, docs, size, percent)
     return connected_components(links.unionByName(more))
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = store(signed(docs, size), "signed")
+    marked, counters = signed(docs, size)
     classes = store(marked.filter("n_shingles > 0").groupBy("class").agg(
-        F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits")), "classes")
-    found = class_components(docs, classes, size, percent)
+        F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "classes")
+    found = class_components(docs, classes, counters, size, percent)
     named = marked.drop("bits").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     smallest = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

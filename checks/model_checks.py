@@ -93,13 +93,69 @@ def train_lof(spark, sf_dir):
 
 
 def train_report(spark, sf_dir):
+    """The report of a training run, its stored registry row, and what holds of every forest."""
     root = run_dir(spark, "models")
     training.train(spark, logs(spark, sf_dir), "record_id", "v1", "2024-02-01T00:00:00", root)
     model_store.deploy_model(spark, root, "v1", "2024-02-02T00:00:00", "check")
     model = model_store.load_model(spark, root, "v1")
-    stored = model_store.read_registry(spark, root).select(F.struct("version", "status", "training_samples")).scalar()
-    out = scoring.prediction_summary(scoring.score_logs(logs(spark, sf_dir), model))
-    return out.withColumns({c: stored.getField(c) for c in ("version", "status", "training_samples")})
+    _, frames, report = training.train(
+        spark, logs(spark, sf_dir), "record_id", "v2", "2024-02-01T00:00:00", require=False)
+    stored = model_store.read_registry(spark, root).select(F.struct("status", "training_samples")).scalar()
+    nodes = model.nodes
+    leaf = F.col("feature") < 0
+    trees = nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).alias("root"), F.sum(F.when(leaf, F.col("size"))).alias("leaves"),
+        F.max("depth").alias("depth"))
+    shape = trees.agg(F.struct(
+        F.count("*").alias("trees"), F.min("root").alias("root"), F.min("leaves").alias("leaves"),
+        (F.max("depth") <= 8).alias("bounded"))).scalar()
+    share = scoring.prediction_summary(frames["scored"]).select("anomaly_rate").scalar()
+    return report.select(
+        F.col("status").alias("run"), "version", "model_type", "training_samples", "feature_count",
+        F.array_join("feature_names", ",").alias("feature_names"), (F.col("training_duration") > 0).alias("timed"),
+        F.array_join(F.array_sort(F.map_keys("checks")), ",").alias("checks"),
+        (F.size("recommendations") >= 0).alias("advised"),
+        stored["status"].alias("stored_status"), stored["training_samples"].alias("stored_samples"),
+        *[shape[c].alias(c) for c in ("trees", "root", "leaves", "bounded")], share.between(0.09, 0.11).alias("tenth"))
+
+
+#: A forest of two small trees over three columns, so that its scores can be told in SQL.
+FIXED_FEATURES = ("metric", "device", "hour")
+FIXED_NODES = (
+    (0, 0, 0, 0.0, 1, 2, 8, 0), (0, 1, -1, 0.0, 1, 1, 3, 1), (0, 2, 2, 0.5, 3, 4, 5, 1),
+    (0, 3, -1, 0.0, 3, 3, 4, 2), (0, 4, -1, 0.0, 4, 4, 1, 2),
+    (1, 0, 1, -0.25, 1, 2, 8, 0), (1, 1, -1, 0.0, 1, 1, 2, 1), (1, 2, -1, 0.0, 2, 2, 6, 1),
+)
+
+
+def _fixed_model(spark, sf_dir):
+    rows = logs(spark, sf_dir).select(
+        "record_id", F.col("metric").cast("double"), F.col("device_id").cast("double").alias("device"),
+        F.hour("log_ts").cast("double").alias("hour"))
+    nodes = spark.createDataFrame(list(FIXED_NODES), forest_ops.NODE_SCHEMA)
+    return rows, model_store.Model("fixed", scoring_scaler(rows), nodes, -0.5)
+
+
+def scoring_scaler(rows):
+    from logprism.operators.scaling import Scaler
+
+    return Scaler.fit(rows, FIXED_FEATURES)
+
+
+def fixed_forest_scores(spark, sf_dir):
+    """Filling, scaling, tree walks, cut and decision of a given model, row by row."""
+    rows, model = _fixed_model(spark, sf_dir)
+    return _rounded(scoring.score_features(rows, model))
+
+
+def fixed_forest_stored(spark, sf_dir):
+    """The same model saved, loaded and applied, with its predictions summed up."""
+    rows, model = _fixed_model(spark, sf_dir)
+    root = run_dir(spark, "models")
+    metadata = model_store.build_metadata("fixed", "2024-01-01T00:00:00", "isolation_forest", model.scaler.rows,
+                                          FIXED_FEATURES, {}, {}, {})
+    model_store.save_model(spark, model_store.Model("fixed", model.scaler, model.nodes, model.offset, metadata), root)
+    return _rounded(scoring.prediction_summary(scoring.score_features(rows, model_store.load_model(spark, root, "fixed"))))
 
 
 def cross_validation(spark, sf_dir):
@@ -209,6 +265,8 @@ QUERIES = {
     "top_anomalies": _shown("anomaly_score"),
     "cv_folds": cv_folds,
     "forest_sample": forest_sample,
+    "fixed_forest_scores": fixed_forest_scores,
+    "fixed_forest_stored": fixed_forest_stored,
     "train_lof": train_lof,
     "forest_scores": forest_scores,
     "train_report": train_report,
@@ -258,6 +316,21 @@ _DRIFT = " union all ".join(_psi(e, n) for e, n in (
     ("cast(hour(log_ts) as double)", "hour"), ("metric + day(log_ts)", "aged")))
 
 
+def _path(size):
+    """Mean path length that a leaf of so many rows stands for, as SQL."""
+    return "0.0" if size <= 1 else "1.0" if size == 2 else f"(2 * (ln({size - 1}) + 0.5772156649) - 2 * {size - 1} / {size}.0)"
+
+
+_FIXED = with_logs(f"""select record_id, score as anomaly_score, 0.5 - score as decision, case when 0.5 - score < 0 then -1 else 1 end as prediction
+  from (select record_id, power(2.0, -(
+      case when m <= 0 then 1 + {_path(3)} when h <= 0.5 then 2 + {_path(4)} else 2 + {_path(1)} end
+      + case when d <= -0.25 then 1 + {_path(2)} else 1 + {_path(6)} end) / (2 * {_path(8)})) as score from z)""",
+    """z as (select record_id, (m - avg(m) over ()) / stddev_pop(m) over () as m, (d - avg(d) over ()) / stddev_pop(d) over () as d,
+      (h - avg(h) over ()) / stddev_pop(h) over () as h from (
+        select record_id, coalesce(m, (select median(metric) from logs)) as m, d, h from (
+          select record_id, metric as m, cast(device_id as double) as d, cast(hour(log_ts) as double) as h from logs)))""")
+
+
 def _stream_counts(width, slide, key=""):
     by = f"{key}, " if key else ""
     shifts = " union all ".join(f"select {i * slide} as s" for i in range(width // slide))
@@ -281,6 +354,14 @@ SQL = {
     "top_anomalies": with_logs("""select record_id, process_name, message_start from (select l.record_id, process_name, substring(message, 1, 100) as message_start
         from logs l, (select quantile_cont(metric, 0.9) as t from logs) where metric > t order by metric desc, record_id limit 5)"""),
     "cv_folds": with_logs("select record_id, cast(ntile(5) over (order by record_id) - 1 as integer) as fold from logs"),
+    "fixed_forest_scores": f"select record_id, round(anomaly_score, 6) as anomaly_score, round(decision, 6) as decision, prediction from ({_FIXED})",
+    "fixed_forest_stored": f"""select count(*) as total_samples, count(*) filter (where prediction = 1) as normal_count,
+        count(*) filter (where prediction = -1) as anomaly_count, round(avg(cast(prediction = -1 as int)), 6) as anomaly_rate,
+        round(avg(decision), 6) as mean_decision, round(stddev_pop(decision), 6) as std_decision from ({_FIXED})""",
+    "train_report": f"""select 'completed' as run, 'v2' as version, 'isolation_forest' as model_type, count(*) as training_samples,
+        {len(feature_names())} as feature_count, '{",".join(feature_names())}' as feature_names, true as timed,
+        'anomaly_ratio,score_distribution,score_mean,score_std' as checks, true as advised, 'deployed' as stored_status, count(*) as stored_samples,
+        100 as trees, least(256, count(*)) as root, least(256, count(*)) as leaves, true as bounded, true as tenth from events""",
     "forest_sample": """select sampled, size, tree, least(size, n) as n, least(size, n) as different
         from (select unnest(range(0, 100)) as tree), (
             select 'events' as sampled, 256 as size, count(*) as n from events

@@ -7,8 +7,9 @@ one summary row per piece to the next level.
 * ``running_sum`` / ``neighbours`` cut an integer axis (microseconds, record
   numbers) into blocks of 2**24 positions (16.8 s of microseconds).  Rows are
   unique per key and position, so no block can hold more than 2**24 small rows
-  however dense the data is, and the level above has one row per block: about
-  1.9 million for a year of logs, whatever the number of rows.
+  however dense the data is.  The level above has one row per block and is cut
+  again, 4096 blocks to a piece; the last level has one row per piece, about
+  460 for a year of logs, whatever the number of rows.
 * ``ranged_running_sum`` is for axes without such a bound (doubles).  Spark's
   range partitioner balances the pieces by sampling; rows are unique per key
   and position, so there is no hot value.  The partitioned rows are
@@ -25,8 +26,9 @@ from pyspark.sql.window import Window
 
 from logprism.session import pin
 
-BLOCK_BITS = 24
-LEVELS = 1
+#: Bits of the positions that one block joins, by level; the highest level comes first.
+BLOCK_BITS = {2: 24, 1: 12}
+LEVELS = 2
 
 
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -46,7 +48,7 @@ def running_sum(
     keys = list(keys)
     block = f"_block{levels}"
     if levels:
-        df = df.withColumn(block, F.shiftright(axis, BLOCK_BITS))
+        df = df.withColumn(block, F.shiftright(axis, BLOCK_BITS[levels]))
     groups = [*keys, block] if levels else keys
     order = (
         Window.partitionBy(*groups).orderBy(axis)
@@ -86,7 +88,7 @@ def neighbours(
         if depth == 0:
             return lag_lead(frame, last, first, keys, along)
         block = f"_block{depth}"
-        frame = frame.withColumn(block, F.shiftright(along, BLOCK_BITS))
+        frame = frame.withColumn(block, F.shiftright(along, BLOCK_BITS[depth]))
         inside = lag_lead(frame, last, first, [*keys, block], along)
         edges = frame.groupBy(*keys, block).agg(
             F.min_by(first, along).alias("_first"), F.max_by(last, along).alias("_last")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logprism.operators.ordered import attach
+from logprism.session import store
 
 
 def process_table(df: DataFrame, process: str = "process_name") -> DataFrame:
@@ -33,7 +34,8 @@ def process_table(df: DataFrame, process: str = "process_name") -> DataFrame:
 def process_features(df: DataFrame, process: str = "process_name") -> DataFrame:
     """Add ``process_rank`` and ``process_frequency``; null for an absent process.
 
-    No broadcast hint: Spark broadcasts the table when its size allows, and
-    otherwise AQE splits the partition of a hot process.
+    The table of processes is stored first, so its size is known when the join
+    is planned: a small one is broadcast without moving the rows, and only a
+    large one costs a shuffle, in which AQE splits a hot process.
     """
-    return df.join(process_table(df, process), process, "left")
+    return df.join(store(process_table(df, process), "processes"), process, "left")

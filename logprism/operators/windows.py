@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from logprism.functions import fixed
 from logprism.functions.features import mac_addresses, mentions
 from logprism.operators.ordered import neighbours, running_sum
+from logprism.session import store
 
 MICROS_PER_MINUTE = 60_000_000
 _SEEN = "_seen"
@@ -167,8 +168,9 @@ def trailing_windows(
     steps = _count_steps(rows, counts, widths, by, outputs)
     if distincts:
         steps = steps.unionByName(_distinct_steps(rows, distincts, widths, by, outputs))
-    per_instant = steps.groupBy(*by, "_at").agg(
-        F.max(_SEEN).alias(_SEEN), *[F.sum(c).alias(c) for c in names])
+    # read once for the sums inside blocks and once for those of whole blocks
+    per_instant = store(steps.groupBy(*by, "_at").agg(
+        F.max(_SEEN).alias(_SEEN), *[F.sum(c).alias(c) for c in names]), "instants")
     # instants at which something only leaves a window are of no record
     table = (
         running_sum(per_instant, "_at", names, by).filter(F.col(_SEEN) > 0).drop(_SEEN)

@@ -140,7 +140,7 @@ def train(
         raise ValueError("only forests are stored, cross-validated or asked for importance")
     names = feature_names()
     keep = [record_id] + ([label] if label else [])
-    features = store(extract_features(logs).select(*keep, *names), "features")
+    features = store(extract_features(logs, keep=keep).select(*keep, *names), "features")
     if is_forest:
         model = fit_features(features, names, record_id, version, options)
         scored = store(score_features(features, model), "scored")

@@ -26,7 +26,7 @@ def feature_names(time: bool = True, wifi: bool = True, text: bool = True,
 def extract_features(
     logs: DataFrame, ts: str = "log_ts", message: str = "message", process: str = "process_name",
     level: str = "log_level", time: bool = True, wifi: bool = True, text: bool = True,
-    windows: bool = True, keep: Sequence[str] | None = None,
+    windows: bool = True, keep: Sequence[str] | None = None, processes: DataFrame | None = None,
 ) -> DataFrame:
     """The input columns, or those in ``keep``, plus one numeric column per feature.
 
@@ -35,7 +35,8 @@ def extract_features(
 
     One pass over the logs takes all that comes from the message and stores it
     without the message (unless that is kept); windows, counts and joins then
-    read the narrow table only.
+    read the narrow table only.  ``processes`` gives the table of processes of
+    other logs (``process_table``) instead of counting these.
     """
     kept = list(logs.columns if keep is None else keep)
     columns = {"log_level_numeric": fx.level_number(F.col(level))}
@@ -59,7 +60,10 @@ def extract_features(
         *[c for c in kept if c not in columns],
         *[c.alias(n) for n, c in columns.items()], *[c.alias(n) for n, c in helpers.items()]), "narrow")
     out = trailing_windows(narrow, "_ts", measures) if windows else narrow
-    out = process_features(out, "_process")
+    if processes is None:
+        out = process_features(out, "_process")
+    else:
+        out = out.join(processes.withColumnRenamed(process, "_process"), "_process", "left")
     return out.select(
         *[c for c in kept if c not in columns],
         *(WINDOW_FEATURES if windows else ()), "process_rank", "process_frequency", *columns)

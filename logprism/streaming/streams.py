@@ -11,7 +11,10 @@ from logprism.functions import features as fx
 from logprism.functions import fixed
 from logprism.functions.formats import parse_iso
 from logprism.operators import registry
-from logprism.plans.scoring import score_features, score_logs
+from logprism.operators.process import process_table
+from logprism.plans.features import extract_features
+from logprism.plans.scoring import score_features
+from logprism.session import store
 from logprism.sources import model_store
 from logprism.sources.exports import RECORD_FIELDS
 
@@ -81,16 +84,48 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def batch_scores(batch: DataFrame, number: int, model: model_store.Model, history: str,
+                 processes: DataFrame) -> DataFrame:
+    """Scores of a micro-batch with all features, as if its logs had come with those before them.
+
+    The batch is kept in the ``history`` folder, by its number.  Trailing
+    windows look back over the logs of earlier batches as far as the widest
+    window reaches; process features come from a table of the logs that the
+    model was fitted on, and gaps are filled with its medians, so the model
+    must be fitted with ``all_medians``.  Where logs arrive in the order of
+    time, the scores do not depend on how they are cut into batches.
+    """
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
+    kept = spark.read.schema(batch.schema).parquet(f"{history}/batch={number}")
+    first = kept.agg(F.min("log_ts")).first()[0]
+    earlier = spark.read.parquet(history).filter(F.col("batch") < number)
+    if first is not None:
+        reach = F.make_dt_interval(mins=F.lit(max(fixed.WINDOWS.values())))
+        earlier = earlier.filter(F.col("log_ts") >= F.lit(first) - reach)
+    both = kept.withColumn("_new", F.lit(True)).unionByName(
+        earlier.select(*kept.columns).withColumn("_new", F.lit(False)))
+    features = extract_features(both, processes=processes).filter("_new").drop("_new")
+    return score_features(features, model, stats="training")
+
+
 def score_with_reload(
     stream: DataFrame, root: str, path: str, checkpoint: str,
-    score: Callable[[DataFrame, model_store.Model], DataFrame] = score_logs,
+    score: Callable[[DataFrame, model_store.Model], DataFrame] | None = None,
+    history: str | None = None, reference: DataFrame | None = None,
 ) -> None:
     """Score micro-batches with the newest deployed model, looked up for every batch.
 
     Each batch is written to its own folder, named by the batch number, so a
-    repeated batch overwrites itself.  Batch-wide features (process counts,
-    trailing windows, medians) refer to the micro-batch.
+    repeated batch overwrites itself.  Without ``score`` all features are used
+    (see :func:`batch_scores`): ``history`` is the folder that keeps the logs
+    for the windows of later batches, ``reference`` the logs that the model was
+    fitted on.
     """
+    if score is None and (history is None or reference is None):
+        raise ValueError("give a history folder and reference logs, or a score function that needs neither")
+    processes = None if score else store(process_table(reference), "processes")
+
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         row = registry.latest_model(
@@ -98,8 +133,8 @@ def score_with_reload(
         if row is None:
             raise RuntimeError(f"no deployed model below {root}")
         model = model_store.load_model(spark, root, row["version"])
-        out = score(batch, model).withColumn("model_version", F.lit(row["version"]))
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        out = score(batch, model) if score else batch_scores(batch, number, model, history, processes)
+        out.withColumn("model_version", F.lit(row["version"])).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -188,8 +188,8 @@ def brute_lines(rows):
     for a in range(len(names)):
         for b in range(a):
             if label[a] != label[b] and (sims[a] ^ sims[b]).bit_count() <= lines.MAX_BITS:
-                longest = max(len(names[a]), len(names[b]))
-                if edit_distance(names[a], names[b]) <= int(longest * 0.2 + 1e-9):
+                x, y = names[a].split(" "), names[b].split(" ")
+                if edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
                     old, new = label[a], label[b]
                     label = [new if x == old else x for x in label]
     gone = set()

@@ -126,6 +126,61 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.documents_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _number(*parts: str) -> str:
+    """``common.key_hash`` as SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+_B, _SHARD = mixing.BLOCK_WORDS, mixing.SHARD_WORDS
+SQL_4 = f"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+        ([3.0, 1.0, 2.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+    FROM d GROUP BY source
+), f AS (
+    SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM s
+), t AS (
+    SELECT source, source_size, coalesce(least(cap, w * (
+        SELECT level FROM f WHERE level * w < cap ORDER BY cap / w, source NULLS LAST LIMIT 1)), cap) AS target FROM f
+), q AS (
+    SELECT source, unnest(range(0, CAST(round(target / {_B}) AS BIGINT) + 5)) AS k FROM t
+), b AS (
+    SELECT source, count(*) AS blocks FROM (
+        SELECT q.source, row_number() OVER (ORDER BY t.target / (2 * k + 1) DESC, t.source IS NULL, t.source, k) AS r
+        FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source WHERE t.target > 0)
+    WHERE r <= (SELECT round(sum(target) / {_B}) FROM t) GROUP BY source
+), p AS (
+    SELECT d.*, t.source_size, t.target, coalesce(b.blocks, 0) AS blocks, {_number("'mix-shard'", "d.doc_id::VARCHAR")}
+        % greatest(1, CAST(ceil(t.source_size / {_SHARD}.0) AS BIGINT)) AS shard, {_number("'mix-place'", "d.doc_id::VARCHAR")} AS place
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), c AS (
+    SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard) AS BIGINT) AS shard_size, CAST(sum(size) OVER (
+        PARTITION BY source, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM p
+), h AS (SELECT DISTINCT source, shard, shard_size, blocks FROM c
+), hq AS (
+    SELECT source, shard, count(*) AS quota FROM (
+        SELECT source, shard, blocks, row_number() OVER (
+            PARTITION BY source ORDER BY shard_size / (2.0 * k + 1) DESC, shard, k) AS r
+        FROM (SELECT *, unnest(range(0, blocks)) AS k FROM h WHERE shard_size > 0))
+    WHERE r <= blocks GROUP BY ALL
+), m AS (
+    SELECT c.*, e - size AS st, greatest(1, CAST(ceil(c.shard_size / {_B}.0) AS BIGINT)) AS n, coalesce(quota, 0) AS quota,
+        {_number("'mix-blocks'", "coalesce(c.source, '')", "c.shard::VARCHAR")} AS draw
+    FROM c LEFT JOIN hq ON c.source IS NOT DISTINCT FROM hq.source AND c.shard = hq.shard
+), z AS (SELECT *, least(quota, 2 * n) AS qq, ({list(mixing.STEPS)})[1 + draw % 4] % n AS step, draw % n AS start FROM m)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform(
+    range(st // {_B}, (e - 1) // {_B} + 1), lambda x: (least(e, (x + 1) * {_B}) - greatest(st, x * {_B}))
+        * (qq // n + CASE WHEN (x * step + start) % n < qq % n THEN 1 ELSE 0 END))) END AS BIGINT) AS taken
+FROM z
+"""
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(prepare(spark), sf_dir, "documents"))
 
@@ -188,4 +243,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL: dict[str, str] = {"op1_warc": SQL_1, "op2_license_scan": SQL_2, "op3_chat_formatting": SQL_3, "op5_jaccard_join": SQL_5}
+SQL: dict[str, str] = {
+    "op1_warc": SQL_1,
+    "op2_license_scan": SQL_2,
+    "op3_chat_formatting": SQL_3,
+    "op4_mixing": SQL_4,
+    "op5_jaccard_join": SQL_5,
+}

@@ -82,21 +82,28 @@ def _jobs(spark, sf_dir):
     return la.job_logs(_service(spark, sf_dir))
 
 
+def _stored_jobs(spark, sf_dir):
+    """The job rows as a table by day."""
+    path = run_dir(spark, "service")
+    log_source.write_service_logs(_jobs(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def log_job_fields(spark, sf_dir):
     return _jobs(spark, sf_dir).select("line", "training_id", "progress", "step")
 
 
 def log_search(spark, sf_dir):
-    found = la.search(_jobs(spark, sf_dir), level="error", start="2024-01-02 00:00:00", end="2024-01-25 00:00:00")
+    found = la.search(_stored_jobs(spark, sf_dir), level="error", start="2024-01-02 00:00:00", end="2024-01-25 00:00:00")
     return la.page(found, limit=50, offset=20, ties=["line"]).select("line", "training_id")
 
 
 def log_search_job(spark, sf_dir):
-    return la.search(_jobs(spark, sf_dir), training_id="job-12").select("line", "level")
+    return la.search(_stored_jobs(spark, sf_dir), training_id="job-12").select("line", "level")
 
 
 def log_search_total(spark, sf_dir):
-    found = la.search(_jobs(spark, sf_dir), level="error", start="2024-01-02 00:00:00", end="2024-01-25 00:00:00")
+    found = la.search(_stored_jobs(spark, sf_dir), level="error", start="2024-01-02 00:00:00", end="2024-01-25 00:00:00")
     return la.page_info(found, limit=50, offset=120)
 
 

@@ -116,12 +116,17 @@ def search(
     logs: DataFrame, training_id: str | None = None, level: str | None = None,
     start: str | None = None, end: str | None = None,
 ) -> DataFrame:
-    """Rows of one job, one level (any case), and the closed interval [start, end]."""
+    """Rows of one job, one level (any case), and the closed interval [start, end].
+
+    Tables of ``write_service_logs`` are searched by their ``level_key``, which
+    the scan can skip by.
+    """
     out = within(logs, start, end)
     if training_id is not None:
         out = out.filter(F.col("training_id") == training_id)
     if level is not None:
-        out = out.filter(F.upper("level") == level.upper())
+        key = F.col("level_key") if "level_key" in logs.columns else F.upper("level")
+        out = out.filter(key == level.upper())
     return out
 
 

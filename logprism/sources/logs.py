@@ -87,6 +87,19 @@ def read_service_logs(spark: SparkSession, path: str, newest: int | None = None)
     return rows if newest is None else rows.orderBy(F.desc("log_ts")).limit(newest)
 
 
+def write_service_logs(service: DataFrame, path: str, mode: str = "append") -> None:
+    """Store parsed service rows as Parquet by day, with the level in upper case beside the stated one.
+
+    Searches of the stored table skip other days' files and push the level to
+    the scan; text lines would have to be parsed for every search.  Rows
+    without a time go to the folder of the null day.
+    """
+    keyed = service.withColumns({"log_date": F.to_date("log_ts"), "level_key": F.upper("level")})
+    # a day's rows come from a few tasks, however many files they were read from
+    days = keyed.repartition("log_date", F.pmod(F.xxhash64("log_ts", "message"), F.lit(8)))
+    days.sortWithinPartitions("log_date", "level_key").write.mode(mode).partitionBy("log_date").parquet(path)
+
+
 def write_selection(logs: DataFrame, path: str, file_format: str = "json", level: str | None = None,
                     start: str | None = None, end: str | None = None,
                     level_column: str = "level", ts: str = "log_ts") -> None:

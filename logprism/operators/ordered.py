@@ -26,8 +26,9 @@ from pyspark.sql.window import Window
 
 from logprism.session import pin
 
-#: Bits of the positions that one block joins, by level; the highest level comes first.
-BLOCK_BITS = {2: 24, 1: 12}
+#: Bits of the positions of one block, and of the blocks of one piece above.
+BLOCK_BITS = 24
+PIECE_BITS = 12
 LEVELS = 2
 
 
@@ -48,7 +49,7 @@ def running_sum(
     keys = list(keys)
     block = f"_block{levels}"
     if levels:
-        df = df.withColumn(block, F.shiftright(axis, BLOCK_BITS[levels]))
+        df = df.withColumn(block, F.shiftright(axis, BLOCK_BITS if levels == LEVELS else PIECE_BITS))
     groups = [*keys, block] if levels else keys
     order = (
         Window.partitionBy(*groups).orderBy(axis)
@@ -88,7 +89,7 @@ def neighbours(
         if depth == 0:
             return lag_lead(frame, last, first, keys, along)
         block = f"_block{depth}"
-        frame = frame.withColumn(block, F.shiftright(along, BLOCK_BITS[depth]))
+        frame = frame.withColumn(block, F.shiftright(along, BLOCK_BITS if depth == LEVELS else PIECE_BITS))
         inside = lag_lead(frame, last, first, [*keys, block], along)
         edges = frame.groupBy(*keys, block).agg(
             F.min_by(first, along).alias("_first"), F.max_by(last, along).alias("_last")

@@ -431,13 +431,15 @@ def class_components(
     stars = store(
         keyed.mapInArrow(in_buckets, PREFIX_DDL).join(roots, "shingle").select("class", "root").distinct(), "roots")
 
-    def with_bits(pairs: DataFrame) -> DataFrame:
-        for side, n in (("a", "n_a"), ("b", "n_b")):
-            pairs = pairs.join(classes.select(
-                F.col("class").alias(side), F.col("n_shingles").alias(n), F.col("bits").alias(f"bits_{side}")), side)
+    def with_both(pairs: DataFrame, column: str, short: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(classes.select(F.col("class").alias(side), F.col(column).alias(f"{short}_{side}")), side)
         return pairs
 
-    first = with_bits(stars.filter("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")))
+    # sizes rule out most pairs before any bitmap is sent
+    first = stars.filter("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b"))
+    first = with_both(first, "n_shingles", "n").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    first = with_both(first, "bits", "bits")
     tried = store(possible(first, percent), "pairs")
     links = store(verified(tried, classes, docs, size, percent), "edges")
     found = connected_components(links)

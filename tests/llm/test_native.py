@@ -238,6 +238,22 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
     assert lines.line_report(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_lines_at_the_edit_limit(spark):
+    draw = random.Random(5)
+    rows, copies = [], set()
+    for n in (5, 10, 20, 40, 100):
+        for _ in range(30):
+            words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)]
+            rows.append((len(rows), " ".join(words), "s"))
+            for at in draw.sample(range(n), n // 5):
+                words[at] = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+            copies.add(len(rows))
+            rows.append((len(rows), " ".join(words), "s"))
+    got = {r.doc_id for r in lines.line_report(documents(spark, rows)).collect() if r.n_dropped}
+    assert got <= copies
+    assert len(got) >= 0.97 * len(copies)
+
+
 # ---- licences
 
 def test_license_scan(spark):

@@ -228,7 +228,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(prepare(spark), sf_dir, "documents"))
+    return lines.line_report(table(prepare(spark), sf_dir, "documents"), **lines.WHOLE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

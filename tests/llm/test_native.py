@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, fingerprints, licenses, lines, mixing
+import corpus_pipeline
+from logprism.llm import chat, fingerprints, licenses, lines, mixing, queries
 from logprism.llm.common import connected_components, prepare
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -254,6 +255,19 @@ def test_line_dedup_finds_lines_at_the_edit_limit(spark):
     assert len(got) >= 0.97 * len(copies)
 
 
+def test_line_dedup_keeps_lines_that_differ_in_numbers_or_marks(spark, tmp_path):
+    texts = [
+        "on 3 May 2021 pump 17 ran 250 hours at 90 bar", "on 4 June 2022 pump 18 ran 310 hours at 75 bar",
+        "कि मि दि नि पि", "की मु दे नो पा",
+        "On 3 May 2021, pump 17 ran 250 hours at 90 bar.", "on 3 May 2021 pump 17 ran 251 hours at 90 bar"]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id for r in queries.op10_line_dedup(spark, str(tmp_path)).collect() if r.n_dropped}
+    assert got == {4, 5}  # an exact copy, and one changed word of eleven
+    left = corpus_pipeline.stage_line_dedup(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {0, 1, 2, 3}
+
+
 # ---- licences
 
 def test_license_scan(spark):

@@ -268,6 +268,16 @@ def test_line_dedup_keeps_lines_that_differ_in_numbers_or_marks(spark, tmp_path)
     assert {r.doc_id for r in left.collect()} == {0, 1, 2, 3}
 
 
+def test_line_dedup_of_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    texts = [
+        "All rights reserved.\n\n***", "all rights reserved\n\n***", "Some rights reserved.\n\n***",
+        "我们今天去公园看花", "我们今天去公园看花。", "我们明天去公园看花", "他昨天在家里写了很多信", "ที่นี่ดี\n谢谢", "ที่นี่ดี\n谢谢"]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.dropped for r in queries.op10_line_dedup(spark, str(tmp_path)).collect() if r.n_dropped}
+    assert got == {1: [0], 4: [0], 5: [0], 8: [0, 1]}
+
+
 # ---- licences
 
 def test_license_scan(spark):

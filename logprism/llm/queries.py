@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, lines, mixing, tokens, warc
-from logprism.llm.common import prepare, table
+from logprism.llm import (
+    chat, decontaminate, fingerprints, jaccard, language, licenses, lines, mixing, packing, phrases, search, tokens, warc,
+)
+from logprism.llm.common import prepare, store, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +233,85 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(prepare(spark), sf_dir, "documents"), **lines.WHOLE)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A text's words with A-Z in lower case, as search and phrases take it.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SQL_11 = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), s AS (
+    SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM d WHERE len(w) > 0
+), q AS (
+    SELECT i, item_id, term, count(*) AS qtf FROM (
+        SELECT i, item_id, unnest({_TERMS}) AS term FROM (
+            SELECT *, row_number() OVER () AS i FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY ALL
+), t AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), v AS (
+    SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM t, s GROUP BY term, nd
+), x AS (
+    SELECT i, item_id, r, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+    FROM t JOIN v USING (term) JOIN q USING (term), s GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= {search.TOP}
+"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        pieces = packing.token_pieces(table(prepare(spark), sf_dir, "documents"), file.read())
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.placed(store(pieces, "pieces")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(prepare(spark), sf_dir, "documents"))
+
+
+SQL_13 = f"""
+WITH d AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), f AS (
+    SELECT lang, g, CAST(count(*) AS HUGEINT) AS f FROM (
+        SELECT lang, unnest(list_concat(
+            list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]),
+            list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS g FROM d)
+    GROUP BY ALL
+), n AS (SELECT lang, sum(f) AS n FROM f WHERE len(g) = 1 GROUP BY lang
+), c AS (
+    SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND f >= {phrases.LEAST}
+), s AS (
+    SELECT c.*, h.f AS l, t.f AS r, (1000000 * a * a) // (h.f * t.f) AS score
+    FROM c JOIN f h ON h.lang = c.lang AND h.g = c.g[1:c.k] JOIN f t ON t.lang = c.lang AND t.g = c.g[c.k + 1:]
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1
+), m AS (
+    SELECT lang, g, max(a) AS longer FROM (
+        SELECT lang, g[1:2] AS g, a FROM s WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM s WHERE len(g) = 3)
+    GROUP BY ALL
+), k AS (
+    SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN m ON m.lang = s.lang AND m.g = s.g
+    WHERE longer IS NULL OR 100 * longer < {phrases.INSIDE_PERCENT} * a
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+    CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM k JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {phrases.TOP}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_license_scan": op2_license_scan,
@@ -242,6 +323,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_packing": op12_packing,
+    "op13_phrases": op13_phrases,
 }
 SQL: dict[str, str] = {
     "op1_warc": SQL_1,
@@ -249,4 +333,6 @@ SQL: dict[str, str] = {
     "op3_chat_formatting": SQL_3,
     "op4_mixing": SQL_4,
     "op5_jaccard_join": SQL_5,
+    "op11_lexical_search": SQL_11,
+    "op13_phrases": SQL_13,
 }

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from logprism.functions import fixed
 
 
+#: The extended form to the second, which a cast reads by itself.
+USUAL_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to TIMESTAMP, null when the text is not ISO-8601.
 
-    A bare cast also takes '2024' or '10:00' and no basic forms, so the parts
-    are taken by pattern and put together again.  Fractions are cut to
-    microseconds; missing minutes and seconds are 0.
+    A bare cast also takes '2024' or '10:00' and no basic forms.  The usual form
+    is cast after one match; of the others the parts are taken by pattern and
+    put together again.  Fractions are cut to microseconds; missing minutes and
+    seconds are 0.
     """
     def part(group: int, default: str) -> Column:
         found = F.regexp_extract(text, fixed.ISO_FORMAT, group)
@@ -26,7 +31,8 @@ def parse_iso(text: Column) -> Column:
     whole = F.concat(
         part(1, ""), F.lit("-"), part(3, ""), F.lit("-"), part(4, ""), F.lit("T"), part(5, "00"), F.lit(":"),
         part(7, "00"), F.lit(":"), part(8, "00"), F.lit("."), F.substring(part(9, "0"), 1, 6), offset)
-    return F.when(text.rlike(fixed.ISO_FORMAT), F.try_to_timestamp(whole))
+    return F.when(text.rlike(USUAL_ISO), F.try_to_timestamp(text)).when(
+        text.rlike(fixed.ISO_FORMAT), F.try_to_timestamp(whole))
 
 
 def is_iso(text: Column) -> Column:

@@ -167,7 +167,8 @@ def order_violations(fields: DataFrame) -> DataFrame:
     stamps = fields.select(
         "file", "record_idx", F.unix_micros(parse_iso(F.col("timestamp.text"))).alias("_t")
     ).filter(F.col("_t").isNotNull())
-    near = neighbours(stamps, "record_idx", "_t", ["file"])
+    # read once for the rows inside blocks and again for those at the edges
+    near = neighbours(store(stamps, "stamps"), "record_idx", "_t", ["file"])
     return near.filter(F.col("next_value") < F.col("_t")).select("file").distinct().select(
         "file", F.lit(None).cast("long").alias("record_idx"), F.lit("not_chronological").alias("rule")
     )

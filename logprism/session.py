@@ -106,7 +106,23 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """
     path = run_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of stored tables that nothing reads any more.
+
+    Spark keeps the shuffle files of a finished job until the driver forgets
+    its plan, so the driver's JVM is asked to collect its garbage as well.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def pin(df: DataFrame) -> DataFrame:

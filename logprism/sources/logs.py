@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logprism.functions import fixed
 from logprism.functions.formats import parse_iso
 from logprism.sources.exports import RECORD_FIELDS
+from logprism.sources.files import listing
+
+#: Bytes that a tail reads at once, going backwards.
+TAIL_BLOCK = 64 << 10
+TAIL = pa.schema([("file", pa.string()), ("from_end", pa.int64()), ("value", pa.string()), ("bytes_read", pa.int64())])
+TAIL_DDL = "file string, from_end long, value string, bytes_read long"
 
 
 def read_logs(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -65,16 +73,16 @@ def within(logs: DataFrame, start: str | None, end: str | None, ts: str = "log_t
     return out
 
 
-def parse_service_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """JSON lines to log_ts, level, logger, message, module, function, line, extra.
+def parse_service_lines(lines: DataFrame, value: str = "value", keep: Iterable[str] = ()) -> DataFrame:
+    """JSON lines to log_ts, level, logger, message, module, function, line, extra, beside the columns to keep.
 
     Blank and broken lines are dropped, as are lines that are no objects.
     """
     fields = F.from_json(F.col(value), "map<string,string>")
-    parsed = lines.select(fields.alias("_f")).filter(F.col("_f").isNotNull())
+    parsed = lines.select(*keep, fields.alias("_f")).filter(F.col("_f").isNotNull())
     get = lambda name: F.try_element_at("_f", F.lit(name))
     return parsed.select(
-        parse_iso(get("timestamp")).alias("log_ts"),
+        *keep, parse_iso(get("timestamp")).alias("log_ts"),
         *[get(f).alias(f) for f in ("level", "logger", "message", "module", "function")],
         get("line").try_cast("int").alias("line"),
         F.map_filter("_f", lambda k, _: ~k.isin(list(fixed.SERVICE_FIELDS))).alias("extra"),
@@ -82,9 +90,61 @@ def parse_service_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_service_logs(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
-    """Service log rows; ``newest`` keeps only that many latest rows."""
+    """Service log rows; ``newest`` keeps only that many latest rows, of equal times the first by their other fields."""
     rows = parse_service_lines(spark.read.text(path))
-    return rows if newest is None else rows.orderBy(F.desc("log_ts")).limit(newest)
+    if newest is None:
+        return rows
+    ties = ["level", "logger", "message", "module", "function", "line", F.to_json("extra")]
+    return rows.orderBy(F.desc("log_ts"), *ties).limit(newest)
+
+
+def last_lines(file: pa.NativeFile, lines: int) -> tuple[list[bytes], int]:
+    """The last lines of a file, last one first, and the bytes read for them.
+
+    Lines end with LF, CR LF or CR; a line end behind the last line starts no new one.
+    """
+    at, data = file.size(), b""
+    while at > 0:
+        step = min(max(TAIL_BLOCK, len(data)), at)  # twice as far each time: long lines are not read over and over
+        at -= step
+        file.seek(at)
+        data = file.read(step) + data
+        ends = data.count(b"\n") + data.count(b"\r") - data.count(b"\r\n")
+        if ends > lines + 1:  # the first line may be cut, and a CR LF may be cut before it
+            break
+    found = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n").removesuffix(b"\n").split(b"\n") if data else []
+    return found[:-lines - 1:-1], len(data)
+
+
+def tail_lines(spark: SparkSession, path: str, lines: int) -> DataFrame:
+    """``file, from_end, value, bytes_read``: the last lines of each file below a path, 1 being the last.
+
+    Tasks take whole files, and of each only its end, in blocks backwards: what
+    is read follows ``lines`` and not the files.  Files lie in a store that
+    Arrow opens by its address (local, HDFS, S3, GCS, Azure) and are not compressed.
+    """
+    if lines < 1:
+        raise ValueError("at least one line")
+    files = listing(spark, path).select("path", "length").filter("length > 0")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["path"].to_pylist():
+                store, place = pafs.FileSystem.from_uri(name)
+                with store.open_input_file(place) as file:
+                    found, size = last_lines(file, lines)
+                texts = [line.decode("utf-8", "replace") for line in found]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * len(texts), pa.string()), pa.array(range(1, len(texts) + 1), pa.int64()),
+                    pa.array(texts, pa.string()), pa.array([size] * len(texts), pa.int64())], schema=TAIL)
+
+    # one row a file; dealt out by name, so that many small files do not become one task
+    return files.repartition("path").mapInArrow(read, TAIL_DDL)
+
+
+def read_service_tail(spark: SparkSession, path: str, lines: int) -> DataFrame:
+    """Service log rows from the last ``lines`` lines of each file, with ``file`` and ``from_end``; blank and broken lines count."""
+    return parse_service_lines(tail_lines(spark, path, lines), keep=("file", "from_end"))
 
 
 def write_service_logs(service: DataFrame, path: str, mode: str = "append") -> None:

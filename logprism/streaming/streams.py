@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logprism.functions import features as fx
 from logprism.functions import fixed
@@ -17,6 +18,7 @@ from logprism.plans.scoring import score_features
 from logprism.session import store
 from logprism.sources import model_store
 from logprism.sources.exports import RECORD_FIELDS
+from logprism.sources.files import listing
 
 #: Features that need one record only, so that a stream can compute them.
 STREAM_FEATURES = fx.TIME_FEATURES + fx.WIFI_FEATURES + fx.TEXT_FEATURES + ("log_level_numeric",)
@@ -88,27 +90,46 @@ def batch_scores(batch: DataFrame, number: int, model: model_store.Model, histor
                  processes: DataFrame) -> DataFrame:
     """Scores of a micro-batch with all features, as if its logs had come with those before them.
 
-    The batch is kept in the ``history`` folder, by its number.  Trailing
-    windows look back over the logs of earlier batches as far as the widest
-    window reaches; process features come from a table of the logs that the
-    model was fitted on, and gaps are filled with its medians, so the model
-    must be fitted with ``all_medians``.  Where logs arrive in the order of
-    time, the scores do not depend on how they are cut into batches.
+    The batch is kept in the ``history`` folder, by day and by its number.
+    Trailing windows look back over the logs of earlier batches as far as the
+    widest window reaches; only the folders of these days are listed and read,
+    so older ones may be removed at any time (see :func:`expired_history`).
+    Process features come from a table of the logs that the model was fitted
+    on, and gaps are filled with its medians, so the model must be fitted with
+    ``all_medians``.  Where logs arrive in the order of time, the scores do not
+    depend on how they are cut into batches.
+
+    For streams with keys, :func:`logprism.streaming.stateful.stream_feature_scores`
+    keeps the windows in the state and needs no history.
     """
     spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-    kept = spark.read.schema(batch.schema).parquet(f"{history}/batch={number}")
-    first = kept.agg(F.min("log_ts")).first()[0]
-    earlier = spark.read.parquet(history).filter(F.col("batch") < number)
-    if first is not None:
-        reach = F.make_dt_interval(mins=F.lit(max(fixed.WINDOWS.values())))
-        earlier = earlier.filter(F.col("log_ts") >= F.lit(first) - reach)
-    both = kept.withColumn("_new", F.lit(True)).unionByName(
-        earlier.select(*kept.columns).withColumn("_new", F.lit(False)))
+    keyed = batch.withColumns({"day": F.to_date("log_ts"), "batch": F.lit(number).cast("long")})
+    # a repeated batch has the same days, and replaces its own folders only
+    (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day", "batch").parquet(history))
+    kept = store(batch, "batch")
+    reach = F.make_dt_interval(mins=F.lit(max(fixed.WINDOWS.values())))
+    span = kept.agg(F.min("log_ts").alias("first"), F.max("log_ts").alias("last")).filter("first is not null").select(
+        "first", F.sequence(F.to_date(F.col("first") - reach), F.to_date("last")).alias("days")).first()
+    both = kept.withColumn("_new", F.lit(True))
+    if span is not None:
+        days = ",".join(day.isoformat() for day in span["days"])
+        schema = T.StructType([*batch.schema, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+        earlier = spark.read.option("basePath", history).schema(schema).parquet(f"{history}/day={{{days}}}")
+        earlier = earlier.filter((F.col("batch") < number) & (F.col("log_ts") >= F.lit(span["first"]) - reach))
+        both = both.unionByName(earlier.select(*kept.columns).withColumn("_new", F.lit(False)))
     features = extract_features(both, processes=processes).filter("_new").drop("_new")
     return score_features(features, model, stats="training")
 
 
+def expired_history(spark: SparkSession, history: str, now: Column) -> DataFrame:
+    """``day`` of the history folders that no window of a record from ``now`` on reaches.  Nothing is deleted."""
+    reach = F.make_dt_interval(mins=F.lit(max(fixed.WINDOWS.values())))
+    days = listing(spark, history, "*.parquet").select(
+        F.to_date(F.nullif(F.regexp_extract("path", "/day=([0-9-]+)/", 1), F.lit(""))).alias("day")).distinct()
+    return days.filter(F.col("day") < F.to_date(now - reach))
+
+
 def score_with_reload(
     stream: DataFrame, root: str, path: str, checkpoint: str,
     score: Callable[[DataFrame, model_store.Model], DataFrame] | None = None,

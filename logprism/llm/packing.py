@@ -54,7 +54,7 @@ class ChunkIds(dict):
     Forgets what it has when there is too much of it; very long chunks are not kept.
     """
 
-    LIMIT, LONG = 1_000_000, 64
+    LIMIT, LONG, LOT = 1_000_000, 64, 500
     ENDS = frozenset(b".,;:!?")
 
     def __init__(self, tokenizer: str):
@@ -63,10 +63,29 @@ class ChunkIds(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Ids of each chunk.  Plain words are encoded many at a time: each ends with the only token of its that ends a word."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        words = [k for k, text in enumerate(texts) if text.isalpha() and text.lower().isalpha()]
+        lots = [words[low:low + self.LOT] for low in range(0, len(words), self.LOT)]
+        out: list[bytes | None] = [None] * len(chunks)
+        for lot, found in zip(lots, self.tokenizer.encode_batch_fast(
+                [" ".join([texts[k] for k in lot]) for lot in lots], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(lot):
+                data, low = ids.tobytes(), 0
+                for k, high in zip(lot, (4 * ends).tolist()):
+                    out[k], low = data[low:high], high
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = np.array(found.ids, "<u4").tobytes()
+        return out
 
     def stem(self, chunk: bytes) -> bytes:
         """The chunk without a closing mark that the tokenizer splits off in any case."""
@@ -87,13 +106,13 @@ class ChunkIds(dict):
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [self.lowered(text).split() for text in texts]
-        missing = {c for chunks in split for c in set(chunks) if c not in self}
+        every = set().union(*split)
+        missing = every.difference(self)
         long = [c for c in missing if len(c) > self.LONG]
         once = dict(zip(long, self.encode(long)))
-        short = missing.difference(once)
-        if len(self) + len(short) > self.LIMIT:
-            short = {c for chunks in split for c in set(chunks) if c not in once}
-        self.learn(short)
+        if len(self) + len(missing) > self.LIMIT:  # learn() will forget, and all of these are needed
+            missing = every
+        self.learn(missing.difference(once))
         if once:
             return [b"".join([once[c] if c in once else self[c] for c in chunks]) for chunks in split]
         return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
@@ -104,6 +123,17 @@ class ChunkIds(dict):
         return text.lower() if text.isascii() and b"<|" not in text else text
 
 
+#: What this worker's tasks have learnt, by tokenizer; only the last one is kept.
+_LEARNT: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(tokenizer: str) -> ChunkIds:
+    if tokenizer not in _LEARNT:
+        _LEARNT.clear()
+        _LEARNT[tokenizer] = ChunkIds(tokenizer)
+    return _LEARNT[tokenizer]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """``slot, doc_id, piece, start, length, ids`` of the documents' pieces; ``tokenizer`` is the tokenizer's JSON.
 
@@ -114,7 +144,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(shared.value)
+        chunks = chunk_ids(shared.value)
         slot = TaskContext.get().partitionId() << 33
         rows, held = [], 0
         for batch in batches:

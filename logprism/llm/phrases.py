@@ -51,6 +51,8 @@ BUDGET = 1 << 21
 GATHERED = 1 << 21
 #: Ranges of first-word hashes.
 BUCKETS = 1 << 16
+#: Parts that a language's candidates are ranked in before the last ranking.
+RANK_PARTS = 64
 #: Bits of the table of frequent words: 16 for each, within these limits.  A full one only prunes less.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
@@ -339,8 +341,13 @@ def collocations(
     phrases = store(phrase_counts(parts, groups, depth, least), "phrases")
     candidates = store(not_inside(scored(phrases, words), depth, percent), "candidates")
 
-    by_score = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    first = candidates.withColumn("_rank", F.rank().over(by_score)).filter(F.col("_rank") <= top).drop("_rank")
+    # in two levels, so that no task reads a language's rows from all others; rows tied at the edge stay
+    order = [F.col("score").desc(), F.col("a").desc()]
+    first = candidates.withColumn("_part", F.spark_partition_id() % RANK_PARTS)
+    for keys in (("lang", "_part"), ("lang",)):
+        place = F.rank().over(Window.partitionBy(*keys).orderBy(*order))
+        first = first.withColumn("_rank", place).filter(F.col("_rank") <= top).drop("_rank")
+    first = first.drop("_part")
     by_name = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     named = spelled(store(first, "candidates"), words).withColumn("rank", F.row_number().over(by_name).cast("long"))
     named = named.filter(F.col("rank") <= top)

@@ -49,11 +49,13 @@ RECALL = 0.99
 AGREEMENT = 0.3
 SAMPLED = 2
 TABLES_PER_WALK = 6
+#: The share of agreeing steps falls as items grow; of longer ones every window that holds a piece is verified.
+WALK_WORDS = 100
 SIEVE_BITS = 20
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()),
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()),
                    ("item_words", pa.int32()), ("start", pa.int64())])
-FOUND_DDL = "doc_id long, item_id long, distance int, item_words int, start long"
+FOUND_DDL = "doc_id long, text_key long, item_id long, distance int, item_words int, start long"
 
 _PLAIN = bytes(ord(chr(b).lower()) if 65 <= b < 91 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _HASHES = WordHashes()
@@ -181,9 +183,10 @@ def passages(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, i
         starts = starts[(starts >= 0) & (starts < len(words))]
         if not len(starts):
             continue
-        met = (index.walks.keys(words, starts, n) == keys).any(axis=1)
+        if n <= WALK_WORDS:
+            starts = starts[(index.walks.keys(words, starts, n) == keys).any(axis=1)]
         done = -1
-        for start in starts[met]:
+        for start in starts:
             if start <= done:
                 continue
             low, high = max(0, start - k), min(len(words), start + n + 2 * k)
@@ -196,42 +199,53 @@ def passages(index: Index, words: np.ndarray) -> Iterator[tuple[int, int, int, i
         yield item_id, distance, n, start
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
-                 recall: float = RECALL) -> DataFrame:
-    """``doc_id, item_id, distance, item_words, start``: the items that each document holds.
-
-    ``distance`` counts words inserted, left out or changed, ``start`` is the
-    number of the word at which the passage begins, within the edits.  One row
-    per document and item, the nearest passage.
-    """
+def found_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
+                   recall: float = RECALL) -> DataFrame:
+    """``doc_id, text_key, item_id, distance, item_words, start``: the items that each row of documents holds."""
     spark = docs.sparkSession
     items = store(benchmark.filter("text is not null").select("item_id", "text"), "benchmark")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / (6 * BLOCK_WORDS)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = None
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         ready = spark.sparkContext.broadcast(Index(
-            sorted((r.item_id, r.text.encode()) for r in mine if r.item_id is not None), similarity, recall))
+            sorted(((r.item_id, r.text.encode()) for r in mine), key=lambda x: (x[0] is None, x[0] or 0, x[1])),
+            similarity, recall))
 
         def run(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), binary(batch["text"])):
+                for doc_id, key, text in zip(batch["doc_id"].to_pylist(), batch["text_key"].to_pylist(), binary(batch["text"])):
                     for row in passages(ready.value, words_of(text.as_py())):
-                        out.append((doc_id, *row))
+                        out.append((doc_id, key, *row))
                 if out:
                     yield arrow_rows(FOUND, list(zip(*out)))
 
         part = rows.mapInArrow(run, FOUND_DDL)
         found = part if found is None else found.unionByName(part)
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
+                 recall: float = RECALL) -> DataFrame:
+    """``doc_id, item_id, distance, item_words, start``: the items that each document holds.
+
+    ``distance`` counts words inserted, left out or changed, ``start`` is the
+    number of the word at which the passage begins, within the edits.  One row
+    per doc_id and item_id, either of which may be null, the nearest passage.
+    """
+    found = found_passages(docs, benchmark, similarity, recall)
     best = F.min(F.struct("distance", "start", "item_words"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("_best")).select(
         "doc_id", "item_id", "_best.distance", "_best.item_words", "_best.start")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, with all their columns; a document without an id is kept."""
-    found = contaminated(docs, benchmark, **options)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no item, with all their columns.
+
+    Rows go by doc_id, null or not, and text: another text with the same id stays.
+    """
+    found = found_passages(docs, benchmark, **options).select("doc_id", "text_key").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_anti")

@@ -36,6 +36,7 @@ a row without doc_id is linked as others are, but cannot name a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,9 @@ FAN = 2
 #: Bits of the filter before the join that fetches shingle sets.
 FILTER_BITS = 1 << 24
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()),
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()),
                     ("slot", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
-SIGNED_DDL = "doc_id long, n_shingles long, class long, bits binary, slot int, part int, data binary"
+SIGNED_DDL = "doc_id long, text_key long, n_shingles long, class long, bits binary, slot int, part int, data binary"
 PREFIX = pa.schema([("shingle", pa.int64()), ("class", pa.int64())])
 PREFIX_DDL = "shingle long, class long"
 SETS = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
@@ -109,10 +110,12 @@ def folded(words: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, length), axis=0)
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
+def sets_of(batches: Iterator[pa.RecordBatch], size: int, *columns: str) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The columns' values and the shingle set of each row."""
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), binary(batch["text"])):
-            yield doc_id, shingle_set(text.as_py(), size)
+        values = zip(*[batch[c].to_pylist() for c in columns]) if columns else repeat(())
+        for row, text in zip(values, binary(batch["text"])):
+            yield row, shingle_set(text.as_py(), size)
 
 
 def counter_of(shingles: np.ndarray) -> np.ndarray:
@@ -120,7 +123,7 @@ def counter_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n_shingles, class, bits`` of every document, and how many texts have the shingles of each counter.
+    """``doc_id, text_key, n_shingles, class, bits`` of every document, and how many texts have the shingles of each counter.
 
     Both come from one pass over the texts; a task's counters are rows of their own.
     """
@@ -128,9 +131,9 @@ def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, pending = np.zeros(COUNTERS, np.uint32), [], 0
         rows, held = [], 0
-        for doc_id, found in sets_of(batches, size):
+        for (doc_id, key), found in sets_of(batches, size, "doc_id", "text_key"):
             bits = np.packbits(signature(found), bitorder="little").tobytes() if len(found) else b""
-            rows.append((doc_id, len(found), class_of(found), bits, None, None, None))
+            rows.append((doc_id, key, len(found), class_of(found), bits, None, None, None))
             held += len(bits) + 100
             if held > 4 << 20:
                 yield arrow_rows(SIGNED, list(zip(*rows)))
@@ -146,13 +149,14 @@ def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
         for batch in [slot_rows(counts, SLOT_COUNT)]:
             n = batch.num_rows
-            yield arrow_rows(SIGNED, [[None] * n, [None] * n, [None] * n, [None] * n,
+            yield arrow_rows(SIGNED, [*[[None] * n] * 5,
                                       batch["slot"], batch["part"], batch["data"]])
 
-    both = store(docs.mapInArrow(run, SIGNED_DDL), "signed")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    both = store(keyed.mapInArrow(run, SIGNED_DDL), "signed")
     slots = both.filter("slot is not null").select("slot", "part", "data")
     counters = reduce_slots(slots, "uint32", saturating, SLOT_COUNT)
-    return both.filter("slot is null").select("doc_id", "n_shingles", "class", "bits"), counters
+    return both.filter("slot is null").select("doc_id", "text_key", "n_shingles", "class", "bits"), counters
 
 
 def saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -453,25 +457,45 @@ def class_components(
     return connected_components(links.unionByName(more))
 
 
-def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def labelled_documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component`` of every document; sets that are linked share the component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked, counters = signed(docs, size)
     classes = store(marked.filter("n_shingles > 0").groupBy("class").agg(
         F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "classes")
     found = class_components(docs, classes, counters, size, percent)
-    named = marked.drop("bits").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class"))
+    return marked.drop("bits").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class")).drop("class")
+
+
+def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    named = labelled_documents(docs, size, percent)
     smallest = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(smallest, (named["component"] == smallest["component"]) & (F.col("n_shingles") > 0), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is the smallest of their group, with all their columns.
+    """The first document of each group, with all its columns: that of the smallest id, null last, then of the smallest text hash.
 
-    Rows that repeat the id of a document that stays are kept.
+    Rows go by id and text, so another text with the same id stays unless it
+    is in the group itself.  Of rows equal in both any one stays.  Documents
+    without words are in no group and stay.
     """
-    groups = jaccard_groups(docs, size, percent)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    named = store(labelled_documents(docs, size, percent).filter("n_shingles > 0").select(
+        "component", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("_place")), "labelled")
+    per = named.groupBy("component", "_place").agg(F.count("*").alias("_n"))
+    first = named.groupBy("component").agg(F.min("_place").alias("_first"))
+    places = per.join(first, "component").filter((F.col("_place") != F.col("_first")) | (F.col("_n") > 1))
+    decided = store(places.select("_place.doc_id", "_place.text_key", (F.col("_place") == F.col("_first")).alias("stays")), "decided")
+
+    def those(frame: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        same = frame["doc_id"].cast("long").eqNullSafe(rows["doc_id"]) & (F.xxhash64(frame["text"]) == rows["text_key"])
+        return frame.join(rows, same, how)
+
+    kept = those(docs, decided, "left_anti")
+    repeated = decided.filter("stays")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(those(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logprism.session import apply_settings, store
+from logprism.session import apply_settings, discard, store
 
 #: A word: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -137,7 +137,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star steps until nothing changes; every
     step is an aggregation and a join, and its result is written to the shared
-    folder.  Nodes without an edge to another node do not appear.
+    folder, and the one before removed.  Nodes without an edge to another node
+    do not appear.
     """
     pairs = store(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -155,7 +156,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lowest.select("u", F.col("m").alias("v")))
-        pairs = store(small.filter("u > v").distinct(), "links")
+        before, pairs = pairs, store(small.filter("u > v").distinct(), "links")
+        discard(before, large)
         now = digest(pairs)
         if now == seen:
             break

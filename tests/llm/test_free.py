@@ -218,11 +218,50 @@ def test_decontamination_matches_brute_force(spark):
     assert got <= wanted and len(got) >= 0.99 * len(wanted) and len(wanted) > 40
     assert {(i, k) for i, k, d in wanted if d == 0} <= {(i, k) for i, k, _ in got}
     kept = {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()}
-    assert kept == {i for i, _ in rows} - {i for i, _, _ in got if i is not None}
+    assert kept == {i for i, _ in rows} - {i for i, _, _ in got}  # also the one without an id
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, tries", [(60, 40), (150, 30), (400, 15), (1000, 8)])
+def test_recall_at_the_edit_limit_by_length(spark, length, tries):
+    draw = random.Random(length)
+    words = [f"w{k}" for k in range(5000)]
+    items = [[draw.choice(words) for _ in range(length)] for _ in range(tries)]
+    rows = []
+    for k, item in enumerate(items):
+        passage = list(item)
+        for at in draw.sample(range(length), length // 5):
+            passage[at] = "changed"
+        rows.append((k, " ".join([draw.choice(words) for _ in range(50)] + passage)))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(k, k) for k in range(tries)}
+
+
+def test_items_and_documents_without_id(spark):
+    """An item without id counts; a contaminated row goes by id and text, so a clean text with the same id stays."""
+    item = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(None, item), (None, None)], "item_id long, text string")
+    docs = documents(spark, [(1, "x " + item), (1, "clean"), (None, item + " y"), (None, "clean"), (3, None)]).withColumns(
+        {"text_key": F.lit(1), "item_id": F.lit(2)})
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, None), (None, None)}
+    kept = decontaminate.clean_documents(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [(1, "clean"), (None, "clean"), (3, None)]))
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "a b c d e f g", "other words that are like no text of the first group"
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, None), (7, None), (8, "q r s t u v w"), (8, "q r s t u v w"), (None, "x y z 1 2 3"), (None, "x y z 1 2 3")]
+    docs = documents(spark, rows).withColumns({"component": F.lit(1), "stays": F.lit(True), "text_key": F.lit(0)})
+    kept = jaccard.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [
+        (3, a), (5, b), (None, None), (7, None), (8, "q r s t u v w"), (None, "x y z 1 2 3")]))
+    assert jaccard.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 2)
     bench = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(4)], "item_id long, text string")

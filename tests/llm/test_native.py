@@ -157,7 +157,7 @@ def test_fingerprint_of_one_or_no_document(spark):
 # ---- lines
 
 def brute_normal(line):
-    return re.sub(r"[\W\d_]+", " ", line.lower()).strip(" ")
+    return re.sub(r"[\W_]+", " ", line.lower()).strip(" ")
 
 
 def brute_simhash(norm):
@@ -181,14 +181,14 @@ def brute_lines(rows):
     for i, text in rows:
         for pos, line in enumerate((text or "").split("\n")):
             norm = brute_normal(line)
-            if len(norm.split(" ")) >= lines.MIN_WORDS:
+            if norm:
                 places.setdefault(norm, []).append((i, pos))
     names = list(places)
     sims = [brute_simhash(n) for n in names]
     label = list(range(len(names)))
     for a in range(len(names)):
         for b in range(a):
-            if label[a] != label[b] and (sims[a] ^ sims[b]).bit_count() <= lines.MAX_BITS:
+            if min(len(names[a].split(" ")), len(names[b].split(" "))) >= lines.MIN_WORDS and label[a] != label[b] and (sims[a] ^ sims[b]).bit_count() <= lines.MAX_BITS:
                 x, y = names[a].split(" "), names[b].split(" ")
                 if edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
                     old, new = label[a], label[b]
@@ -239,6 +239,23 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
     assert lines.line_report(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    line = " ".join(COMMON)
+    names = ["dropped", "_id", "_key", "_doc_id", "_text_key", "_dropped", "__dropped", "class", "norm", "pos", "text_key"]
+    docs = documents(spark, [(1, line, "s"), (2, line + "\nother", "s"), (None, None, "s")]).withColumns({c: F.lit(c) for c in names})
+    assert {r.doc_id: r.dropped for r in lines.line_report(docs).collect()} == {1: [], 2: [0], None: []}
+    got = {r.doc_id: r for r in lines.deduplicate_lines(docs).collect()}
+    assert {i: (r.text, r._dropped) for i, r in got.items()} == {1: (line, 0), 2: ("other", 1), None: (None, 0)}
+    assert all(r[c] == c for r in got.values() for c in names if c != "_dropped")
+    assert lines.deduplicate_lines(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_of_a_very_long_line(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, long, "s"), (2, long.replace("w7 ", "x7 ", 1), "s"), (3, "a b c d e", "s")]
+    assert {r.doc_id for r in lines.line_report(documents(spark, rows)).collect() if r.n_dropped} == {2}
+
+
 def test_line_dedup_finds_lines_at_the_edit_limit(spark):
     draw = random.Random(5)
     rows, copies = [], set()

@@ -22,7 +22,7 @@ from logprism.plans.features import extract_features
 from logprism.session import run_dir, store
 from logprism.sources import exports, files, model_store, split_exports
 from logprism.sources import logs as log_source
-from logprism.streaming import stateful
+from logprism.streaming import stateful, streams
 
 
 def _rounded(df):
@@ -317,6 +317,18 @@ def stream_windows(spark, sf_dir):
     return _finished(spark, stateful.stream_window_features(stream, keys=["device_id"])).select("record_id", *WINDOW_FEATURES)
 
 
+def stream_sessions(spark, sf_dir):
+    out = _finished(spark, streams.stream_sessions(_log_stream(spark, sf_dir), "3 minutes"))
+    return out.select(F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "process_name",
+                      "events", "errors", "connections")
+
+
+def stream_first_records(spark, sf_dir):
+    """Kept records per process, of records that agree in device, process and message."""
+    rows = _finished(spark, streams.stream_first_records(_log_stream(spark, sf_dir), ("device_id", "process_name", "message")))
+    return rows.groupBy("process_name").agg(F.count("*").alias("n"), F.count_distinct("device_id", F.coalesce("message", F.lit(""))).alias("keys"))
+
+
 def _stream_windows_sql():
     widths = {w: m * 60_000_000 for w, m in fixed.WINDOWS.items()}
 
@@ -349,6 +361,8 @@ QUERIES = {
     "signal_trend": signal_trend,
     "link_features": link_features,
     "stream_windows": stream_windows,
+    "stream_sessions": stream_sessions,
+    "stream_first_records": stream_first_records,
     "rollup_by_process": rollup_by_process,
     "rollup_codes": rollup_codes,
     "rollup_estimates": rollup_estimates,
@@ -389,6 +403,16 @@ SQL = {
         round(signal_strength_trend, 6) as signal_strength_trend from kinds left join stable using (device) left join trend using (device)""",
         _SESSIONS, _STABLE, _TREND, _KINDS),
     "stream_windows": _stream_windows_sql(),
+    "stream_sessions": with_logs(f"""select min(t) as start_us, max(t) + 180000000 as end_us, process_name, count(*) as events,
+        count(*) filter (where regexp_matches(message, '{fixed.FAILURE}', 'i')) as errors,
+        count(*) filter (where regexp_matches(message, '{fixed.CONNECTED}', 'i')) as connections
+        from (select *, sum(begins) over (partition by process_name order by t) as run from (
+          select *, epoch_us(log_ts) as t, coalesce(cast(epoch_us(log_ts) - lag(epoch_us(log_ts)) over (
+            partition by process_name order by log_ts) >= 180000000 as int), 1) as begins from logs))
+        group by process_name, run
+        having max(t) + 180000000 <= (select epoch_ms(max(log_ts)) * 1000 - 600000000 from logs)"""),
+    "stream_first_records": with_logs("""select process_name, count(*) as n, count(*) as keys from (
+        select distinct device_id, process_name, message from logs) group by 1"""),
     "rollup_by_process": with_logs(f"""select process_name, count(*) as rows, count(*) filter (where log_level in ('ERROR', 'CRITICAL')) as errors,
         count(*) filter (where log_level = 'WARNING') as warnings, {", ".join(
             f"count(*) filter (where kind = '{k}') as {k}_rows" for k in rollups.KINDS)},

@@ -6,8 +6,10 @@ column needs them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,18 +22,42 @@ REQUIRED_PARTS = ("metadata", "nodes", "scaler")
 
 
 def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Files below a folder; a folder that does not exist has none."""
+    """Files below a folder, empty ones too; a folder that does not exist has none."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
     try:
-        return reader.load(path)
+        found = reader.load(path)
+        return found.unionByName(_empty_files(found))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _LISTING)
 
 
+def _plain(path: str) -> str:
+    """A file's address with one slash behind the scheme, without escapes."""
+    return re.sub(r"^([A-Za-z][\w.+-]*):/+", r"\1:/", path)
+
+
+def _empty_files(found: DataFrame) -> DataFrame:
+    """The files of a listing without any byte, which Spark's scans pass over.
+
+    The driver has the names of all files for its own index already; only the
+    few that no scan returns are looked up.
+    """
+    spark = found.sparkSession
+    scanned = {_plain(r["path"]) for r in found.select("path").collect()}
+    left = [name for name in map(unquote, found.inputFiles()) if _plain(name) not in scanned]
+    conf, rows = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in left:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        rows.append((status.getPath().toString(), status.getModificationTime()))
+    return spark.createDataFrame(rows, "path string, ms long").select(
+        "path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 def export_catalog(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Name, path, size, change time and SHA-256 of each file, newest first."""
     return listing(spark, path, pattern).select(

@@ -40,9 +40,8 @@ from logprism.functions import fixed
 from logprism.operators.windows import MICROS_PER_MINUTE, CountWhere, DistinctOf, log_measures
 from logprism.plans.scoring import score_features
 from logprism.sources.model_store import Model
-from logprism.streaming.streams import record_features
+from logprism.streaming.streams import STATE_STORE, record_features
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A carried row is one JSON value in the state; these keep its times exact.
 ROW_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
                "ignoreNullFields": "false"}

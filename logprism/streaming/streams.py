@@ -20,6 +20,8 @@ from logprism.sources import model_store
 from logprism.sources.exports import RECORD_FIELDS
 from logprism.sources.files import listing
 
+#: State that is large or kept long lies on disk, sorted, and not in the executors' memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Features that need one record only, so that a stream can compute them.
 STREAM_FEATURES = fx.TIME_FEATURES + fx.WIFI_FEATURES + fx.TEXT_FEATURES + ("log_level_numeric",)
 
@@ -77,6 +79,34 @@ def stream_dedup(logs: DataFrame, delay: str = "10 minutes", ts: str = "log_ts",
     return logs.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(fields))
 
 
+def stream_first_records(logs: DataFrame, fields: Sequence[str] = ("timestamp", "message", "process_name")) -> DataFrame:
+    """First of the records that agree in all fields, over everything the stream has ever read.
+
+    The keys seen are kept without end, so they lie in the RocksDB store, on
+    disk and sorted, with a checkpoint that a restart goes on from; a repeated
+    batch gives the same rows.  The state grows with the number of different
+    keys: give ``stream_dedup`` a watermark where repeats come soon.
+    """
+    logs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return logs.dropDuplicates(list(fields))
+
+
+def stream_sessions(logs: DataFrame, gap: str = "5 minutes", delay: str = "10 minutes", keys: Sequence[str] = ("process_name",),
+                    ts: str = "log_ts", message: str = "message") -> DataFrame:
+    """Runs of records of a key without a pause of ``gap``: start, end (last record plus the gap), counts.
+
+    A session is given once the watermark has passed its end; rows behind the
+    watermark are dropped.
+    """
+    window = F.session_window(ts, gap)
+    counted = logs.withWatermark(ts, delay).groupBy(window, *keys).agg(
+        F.count("*").alias("events"), F.count_if(fx.mentions(F.col(message), fixed.FAILURE)).alias("errors"),
+        F.count_if(fx.mentions(F.col(message), fixed.CONNECTED)).alias("connections"))
+    return counted.select(
+        F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"),
+        *keys, "events", "errors", "connections")
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there into a Parquet folder, then stop."""
     query = (

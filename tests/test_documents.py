@@ -183,3 +183,16 @@ def test_day_folders_are_pruned(spark, sf_dir):
     assert "log_date" in filters and ">=" in filters and "<=" in filters
     days = {r["log_date"].day for r in found_rows.select("log_date").distinct().collect()}
     assert days == {10, 11}
+
+
+def test_listings_have_empty_files(spark):
+    """Spark's scans pass over files without bytes; listings, totals and findings do not."""
+    path = run_dir(spark, "listed")
+    for name in ("a b.log", "c%20d.log"):
+        empty = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/x/{name}")
+        empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(empty).close()
+    spark.range(1).select(F.lit("x").alias("value")).coalesce(1).write.text(f"{path}/full")
+    rows = files.listing(spark, path).collect()
+    assert sorted(r.length for r in rows) == [0, 0, 2] and all(r.modificationTime is not None for r in rows)
+    found = files.storage_findings(spark, run_dir(spark, "none"), run_dir(spark, "none"), path).collect()
+    assert [(r.area, r.finding) for r in found] == [("logs", "empty_log")] * 2

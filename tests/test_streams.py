@@ -37,3 +37,27 @@ def test_dedup_across_batches(spark):
     row = ("2024-01-01T00:01:00Z", "same")
     rows = finish(spark, streams.stream_dedup(batches(spark, [row, row], [row, ("2024-01-01T00:01:00Z", "other")])))
     assert sorted(r["message"] for r in rows) == ["other", "same"]
+
+
+def test_sessions_end_with_the_gap(spark):
+    day = "2024-01-01T"
+    stream = batches(
+        spark,
+        [(f"{day}00:00:00Z", "AP-STA-CONNECTED"), (f"{day}00:04:00Z", "x failed"), (f"{day}00:09:00Z", "x")],
+        [(f"{day}00:08:30Z", "late but in time"), (f"{day}02:00:00Z", "x")], [(f"{day}03:00:00Z", "x")])
+    rows = finish(spark, streams.stream_sessions(stream, "5 minutes"))
+    # a pause of the whole gap begins a new session, unless a record between them arrives in time
+    assert sorted((r["session_start"].strftime("%H:%M:%S"), r["session_end"].strftime("%H:%M:%S"), r["events"], r["errors"], r["connections"])
+                  for r in rows) == [("00:00:00", "00:14:00", 4, 1, 1), ("02:00:00", "02:05:00", 1, 0, 0)]
+
+
+def test_first_records_over_all_history(spark):
+    """Repeats are found over any time and after a restart; no watermark forgets them."""
+    first, again = ("2024-01-01T00:00:00Z", "same"), ("2024-06-01T00:00:00Z", "new")
+    path, out, offsets = run_dir(spark, "in"), run_dir(spark, "out"), run_dir(spark, "offsets")
+    for rows in ([first, first], [again, first, ("2024-01-01T00:00:00Z", None)], [first, again, ("2024-01-01T00:00:00Z", None)]):
+        lines = [json.dumps({"timestamp": t, "message": m, "process_name": "p", "log_level": "INFO"}) for t, m in rows]
+        spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.mode("append").text(path)
+        streams.run_available(streams.stream_first_records(streams.read_log_stream(spark, path)), out, offsets)
+    got = sorted((r.timestamp, str(r.message)) for r in spark.read.parquet(out).collect())
+    assert got == [(first[0], "None"), first, again]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logprism.functions.formats import parse_iso
 
@@ -57,21 +58,26 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def write_export(logs: DataFrame, path: str, file_column: str, order: str, created_at: str) -> None:
     """Write documents, one per value of ``file_column``.
 
-    Each value becomes one JSON document, so the caller picks a column whose
-    groups stay within the size of one export file.  Absent fields are left out.
+    Each value becomes one JSON document with a record a line.  No document is
+    held as a whole: its records are sorted on disk and written one by one, so
+    documents may be of any size; each is written by one task.  Absent fields
+    are left out.
     """
     fields = [c for c in logs.columns if c not in (file_column, order)]
-    record = F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("r"))
-    documents = logs.groupBy(file_column).agg(
-        F.count("*").alias("_n"),
-        F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"]).alias("data"),
-    )
-    body = F.to_json(F.struct(
-        F.struct(F.lit(created_at).alias("created_at"), F.col("_n").alias("total_records"),
-                 F.lit("json").alias("format")).alias("export_metadata"),
-        F.col("data"),
-    ))
-    documents.select(file_column, body.alias("value")).write.partitionBy(file_column).text(path)
+    records = logs.select(file_column, F.col(order).alias("_o"), F.to_json(F.struct(*fields)).alias("_r"))
+    within = Window.partitionBy(file_column).orderBy("_o", "_r")
+    total = F.count("*").over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    numbered = records.withColumns({"_n": total, "_k": F.row_number().over(within)})
+    metadata = F.to_json(F.struct(F.struct(
+        F.lit(created_at).alias("created_at"), F.col("_n").alias("total_records"), F.lit("json").alias("format")
+    ).alias("export_metadata")))
+    # the opening object without its last brace goes on with the data
+    opening = F.when(F.col("_k") == 1, F.concat(F.expr("substring(_m, 1, length(_m) - 1)"), F.lit(',"data":['))).otherwise(",")
+    closing = F.when(F.col("_k") == F.col("_n"), "]}").otherwise("")
+    lines = numbered.withColumn("_m", F.when(F.col("_k") == 1, metadata)).select(
+        file_column, F.concat(opening, "_r", closing).alias("value"))
+    # files go to their places from the tasks that wrote them, not one by one from the driver
+    lines.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(file_column).text(path)
 
 
 def export_info(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -270,14 +272,24 @@ def permutation_importance(
     first = Window.partitionBy("repeat", "block").orderBy(record_id)
     second = Window.partitionBy("repeat", "block").orderBy(
         F.xxhash64(F.col(record_id), F.col("repeat"), F.lit(seed + 1)), record_id)
-    left = base.withColumn("k", F.row_number().over(first))
-    right = base.select("repeat", "block", F.row_number().over(second).alias("k"), F.col("x").alias("other"))
-    pairs = left.join(right, ["repeat", "block", "k"])
-    swapped = pairs.select(
-        "before", "x", "other", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f"))
-    changed = swapped.select("before", "f", *[
-        F.when(F.col("f") == i, F.col("other")[i]).otherwise(F.col("x")[i]).alias(n) for i, n in enumerate(names)])
-    both = forest_ops.forest_score(changed, walker, "after")
+    ranked = base.withColumns({"k": F.row_number().over(first), "l": F.row_number().over(second)})
+    shared = features.sparkSession.sparkContext.broadcast(walker)  # bounded by the options
+
+    def changes(block: pd.DataFrame) -> pd.DataFrame:
+        """Per feature, the sum of the changes when each row takes it from the row of its place in the second order."""
+        x, before = np.stack(block["x"].to_numpy()), block["before"].to_numpy()
+        donor = np.empty(len(block), dtype=np.int64)
+        donor[block["l"].to_numpy() - 1] = np.arange(len(block))
+        other, total = x[donor[block["k"].to_numpy() - 1]], []
+        for i in range(len(names)):
+            changed = x.copy()
+            changed[:, i] = other[:, i]
+            total.append(np.abs(shared.value.score_matrix(changed) - before).sum())
+        return pd.DataFrame({"f": np.arange(len(names)), "total": total, "rows": len(block)})
+
+    # a block is small, and its rows are exploded by feature where they are scored
+    both = ranked.select("repeat", "block", "before", "x", "k", "l").groupBy("repeat", "block").applyInPandas(
+        changes, "f int, total double, rows long")
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1)
-    return both.groupBy("f").agg(F.avg(F.abs(F.col("after") - F.col("before"))).alias("importance")).select(
+    return both.groupBy("f").agg((F.sum("total") / F.sum("rows")).alias("importance")).select(
         named.alias("feature"), "importance")

@@ -66,6 +66,13 @@ def test_importance_uses_all_records_in_blocks(spark, monkeypatch):
     assert got["a"] > 0 and got["b"] == 0
 
 
+def test_importance_sends_each_row_once_and_joins_nothing(spark):
+    points = spark.range(400).select("id", *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 1000.0).alias(c) for c in "ab"])
+    model = training.fit_features(points, ("a", "b"), "id", "v")
+    plan = training.permutation_importance(points, model, "id", repeats=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("explode(") == 1  # the repeats only, not the features
+
+
 def test_folds_need_unique_ids(spark):
     frame = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     with pytest.raises(ValueError):

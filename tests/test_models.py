@@ -236,3 +236,15 @@ def test_importance_and_cross_validation(spark, points, model):
     assert sorted(r["rows"] for r in got) == [750, 750]
     assert all(r["cv_neg_mse"] <= 0 and r["cv_neg_mse_matched"] <= 0 for r in got)
     assert training.cross_validation_summary(folds).first()["mean_cv_score"] <= 0
+
+
+def test_walks_of_any_number_of_rows():
+    """Blocks of rows give what each row gives alone; a gap goes to the right, as a comparison with it does not hold."""
+    draw = np.random.default_rng(5)
+    left, right = np.array([1, 1, 3, 3, 4]), np.array([2, 1, 4, 3, 4])
+    walker = forest_ops.Forest(("a", "b"), np.array([0, 0, 1, 0, 0]), np.array([0.0, 0.0, 0.5, 0.0, 0.0]), left, right,
+                           np.array([0.0, 1.0, 0.0, 2.0, 3.0]), np.array([0]), 2, 1.0)
+    x = draw.normal(size=(2 * forest_ops.WALK_ROWS + 3, 2))
+    x[5, 0] = x[6, 1] = np.nan
+    path = np.where(x[:, 0] <= 0, 1.0, np.where(x[:, 1] <= 0.5, 2.0, 3.0))
+    assert (walker.score_matrix(x) == np.power(2.0, -path)).all() and len(walker.score_matrix(x[:0])) == 0

@@ -223,6 +223,18 @@ def test_line_dedup_matches_brute_force(spark):
         assert kept[i] == wanted
 
 
+@pytest.mark.parametrize("words", [60, 260])
+def test_no_pair_of_lines_at_the_edit_limit_is_lost(spark, words):
+    """Every fifth word differs, so that only runs of four are left, one in each five."""
+    pairs = []
+    for k in range(60):
+        line = [f"w{k}x{i}" for i in range(words)]
+        pairs += [" ".join(line), " ".join("other" if i % 5 == 4 else w for i, w in enumerate(line))]
+    docs = documents(spark, [(i, text, "s") for i, text in enumerate(pairs)])
+    got = {r.doc_id for r in lines.line_report(docs).collect() if r.n_dropped}
+    assert got == set(range(1, 120, 2))
+
+
 def test_wide_lanes_count_the_same(spark):
     words = F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: F.xxhash64(i))
     for size in (300, 700):

@@ -76,8 +76,7 @@ def write_export(logs: DataFrame, path: str, file_column: str, order: str, creat
     closing = F.when(F.col("_k") == F.col("_n"), "]}").otherwise("")
     lines = numbered.withColumn("_m", F.when(F.col("_k") == 1, metadata)).select(
         file_column, F.concat(opening, "_r", closing).alias("value"))
-    # files go to their places from the tasks that wrote them, not one by one from the driver
-    lines.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(file_column).text(path)
+    lines.write.partitionBy(file_column).text(path)
 
 
 def export_info(spark: SparkSession, path: str) -> DataFrame:

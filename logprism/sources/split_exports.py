@@ -26,10 +26,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
 
 from logprism.functions.formats import parse_iso
 from logprism.session import store
@@ -53,8 +53,10 @@ COUNTS_DDL = ("file string, block long, before long, ended boolean, begins boole
               "head binary, rest binary")
 RECORDS = pa.schema([("file", pa.string()), ("record_idx", pa.int64()), ("text", pa.binary())])
 RECORDS_DDL = "file string, record_idx long, text binary"
-STATE_DDL = "file string, block long, in_string boolean, depth long, unclosed boolean, complete boolean"
-PLACE_DDL = f"{STATE_DDL}, inside boolean, may_begin boolean, first_record long, records long"
+#: The state of a range that begins a document and reads on to its end; the driver keeps those of other ranges only.
+USUAL_STATE = (False, 0, True)
+USUAL = "not in_string and depth = 0 and unclosed"
+USUAL_PLACE = f"{USUAL} and not inside and may_begin and first_record = 0"
 BATCH_BYTES = 4 << 20
 
 
@@ -134,19 +136,25 @@ def depth_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield rows_of(DELTAS, [(*key, size, plain.quotes, plain.depth, quoted.depth)])
 
 
-def states(blocks: pd.DataFrame) -> pd.DataFrame:
-    """The state in which each range of one file begins, and whether the file is complete."""
-    blocks = blocks.sort_values("block")
-    unclosed = int(blocks["bytes"].sum()) > int(blocks["size"].iloc[0])  # nothing follows the last fragment
-    in_string, depth, rows = False, 0, []
-    for r in blocks.itertuples():
-        rows.append((r.file, r.block, in_string, depth, False))
-        depth += r.quoted if in_string else r.plain
-        in_string ^= bool(r.quotes % 2)
-    rows[-1] = (*rows[-1][:4], unclosed)
-    complete = not in_string and depth + unclosed == 0
-    return pd.DataFrame([(*row, complete) for row in rows],
-                        columns=["file", "block", "in_string", "depth", "unclosed", "complete"])
+def _before() -> WindowSpec:
+    """The ranges of a file before each of its ranges."""
+    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def states(blocks: DataFrame) -> DataFrame:
+    """The state in which each range of a file begins, and whether the file is complete: running sums in the order of the file."""
+    whole, before = Window.partitionBy("file"), _before()
+    # nothing follows the last fragment
+    over = F.sum("bytes").over(whole) > F.col("size")
+    quotes, all_quotes = F.coalesce(F.sum("quotes").over(before), F.lit(0)), F.sum("quotes").over(whole)
+    rows = blocks.withColumns({"in_string": quotes % 2 == 1, "_open": all_quotes % 2 == 1, "_over": over,
+                               "_last": F.col("block") == F.max("block").over(whole)})
+    change = F.when(F.col("in_string"), F.col("quoted")).otherwise(F.col("plain"))
+    rows = rows.withColumn("_change", change).withColumns({
+        "depth": F.coalesce(F.sum("_change").over(before), F.lit(0)), "_depth": F.sum("_change").over(whole)})
+    return rows.select(
+        "file", "block", "in_string", "depth", (F.col("_last") & F.col("_over")).alias("unclosed"),
+        (~F.col("_open") & (F.col("_depth") + F.col("_over").cast("long") == 0)).alias("complete"))
 
 
 def members(values: Iterator[bytes], state: tuple, inside: bool, may_begin: bool) -> Iterator[tuple[str, bytes]]:
@@ -187,9 +195,9 @@ def without_other_members(text: bytes) -> bytes:
     return text
 
 
-def by_state(batches: Iterator[pa.RecordBatch], known: dict) -> Iterator[tuple]:
+def by_state(batches: Iterator[pa.RecordBatch], known: dict, usual: tuple) -> Iterator[tuple]:
     for (file, block, _), values in by_block(batches):
-        yield file, block, known[file, block], values
+        yield file, block, known.get((file, block), usual), values
 
 
 def record_counts(parts: DataFrame, known: dict) -> DataFrame:
@@ -197,7 +205,7 @@ def record_counts(parts: DataFrame, known: dict) -> DataFrame:
     shared = parts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, block, state, values in by_state(batches, shared.value):
+        for file, block, state, values in by_state(batches, shared.value, USUAL_STATE):
             n, ended, begins, head, rest = [0, 0], [False, False], False, None, None
             for kind, text in members(values, state, state[1] >= MEMBERS, True):
                 if kind == "record" and not begins and not n[0]:
@@ -212,19 +220,19 @@ def record_counts(parts: DataFrame, known: dict) -> DataFrame:
     return parts.mapInArrow(count, COUNTS_DDL)
 
 
-def places(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Whether each range of one file begins in the array, and with which record."""
-    inside, begun, record, rows = False, False, 0, []
-    for r in blocks.sort_values("block").itertuples():
-        rows.append((inside, not begun, record))
-        if inside:
-            record += r.before
-            inside = not r.ended
-        if r.begins and not begun:
-            inside, begun, record = not r.ended_after, True, r.after
-    out = blocks.sort_values("block")[["file", "block", "in_string", "depth", "unclosed", "complete"]]
-    out = out.assign(inside=[r[0] for r in rows], may_begin=[r[1] for r in rows], first_record=[r[2] for r in rows])
-    return out.assign(records=record if begun else -1)
+def places(blocks: DataFrame) -> DataFrame:
+    """Whether each range of a file begins in the array, and with which record."""
+    whole, before = Window.partitionBy("file"), _before()
+    rows = blocks.withColumn("_begun", F.coalesce(F.max("begins").over(before), F.lit(False)))
+    # the array goes on behind the range that it begins in, up to the first range that it ends in
+    first = F.col("begins") & ~F.col("_begun")
+    rows = rows.withColumn("inside", F.col("_begun") & F.coalesce(
+        F.max(first & ~F.col("ended_after")).over(before) & ~F.max(F.col("_begun") & F.col("ended")).over(before), F.lit(False)))
+    rows = rows.withColumn("_ends", F.when(first, F.col("after")).when(F.col("inside"), F.col("before")).otherwise(0))
+    return rows.select(
+        "file", "block", "in_string", "depth", "unclosed", "complete", "inside", (~F.col("_begun")).alias("may_begin"),
+        F.coalesce(F.sum("_ends").over(before), F.lit(0)).alias("first_record"),
+        F.when(F.max("begins").over(whole), F.sum("_ends").over(whole)).otherwise(-1).alias("records"))
 
 
 def export_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -234,11 +242,12 @@ def export_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     (-1: no array); the second its counts and the texts at its edges.
     """
     parts = fragments(spark, path)
-    begins = store(parts.mapInArrow(depth_changes, DELTAS_DDL).groupBy("file").applyInPandas(states, STATE_DDL), "states")
-    known = {(r.file, r.block): (r.in_string, r.depth, r.unclosed) for r in begins.collect()}  # one row for each range
+    begins = store(states(parts.mapInArrow(depth_changes, DELTAS_DDL)), "states")
+    # one row for each range that is not like that of a small sound document
+    known = {(r.file, r.block): (r.in_string, r.depth, r.unclosed) for r in begins.filter(f"not ({USUAL})").collect()}
     counts = store(record_counts(parts, known), "counts")
     counted = begins.join(counts.drop("head", "rest"), ["file", "block"])
-    return store(counted.groupBy("file").applyInPandas(places, PLACE_DDL), "ranges"), counts
+    return store(places(counted), "ranges"), counts
 
 
 def export_completeness(ranges: DataFrame) -> DataFrame:
@@ -275,12 +284,12 @@ def edge_records(ranges: DataFrame, counts: DataFrame) -> DataFrame:
 def record_texts(spark: SparkSession, path: str, ranges: DataFrame, counts: DataFrame) -> DataFrame:
     """Third scan: ``file, record_idx, text`` of every complete record."""
     known = {(r.file, r.block): ((r.in_string, r.depth, r.unclosed), r.inside, r.may_begin, r.first_record)
-             for r in ranges.collect()}
+             for r in ranges.filter(f"not ({USUAL_PLACE})").collect()}
     shared = spark.sparkContext.broadcast(known)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for file, block, (state, inside, may_begin, number), values in by_state(batches, shared.value):
+        for file, block, (state, inside, may_begin, number), values in by_state(batches, shared.value, (USUAL_STATE, False, True, 0)):
             edge = inside  # the first record that ends here may have begun in an earlier range
             for kind, text in members(values, state, inside, may_begin):
                 if kind == "begin":

@@ -96,3 +96,28 @@ def test_unselected_columns_are_not_parsed(spark):
     path = write(spark, one='{"data": [{"timestamp": "2024-01-01T00:00:00Z", "message": "m"}]}')
     plan = split.read_split_export(spark, path).select("message")._jdf.queryExecution().optimizedPlan().toString()
     assert "process_name" not in plan
+
+
+def test_states_and_places_are_running_sums(spark):
+    """Ranges of many files are told their state by Spark's own windows, not file by file in Python."""
+    deltas = spark.createDataFrame([
+        (file, block, 30, 10, quotes, plain, quoted) for file in ("a", "b")
+        for block, quotes, plain, quoted in ((20, 2, -2, 0), (0, 1, 2, 0), (10, 1, 5, 1))] + [("c", 0, 9, 10, 0, -1, 0)], split.DELTAS_DDL)
+    found = split.states(deltas)
+    assert "Python" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "InPandas" not in plan
+    got = {(r.file, r.block): (r.in_string, r.depth, r.unclosed, r.complete) for r in found.collect()}
+    for file in ("a", "b"):
+        assert [got[file, k] for k in (0, 10, 20)] == [(False, 0, False, False), (True, 2, False, False), (False, 3, False, False)]
+    assert got["c", 0] == (False, 0, True, True)
+
+    # begins in the second range, ends in the fourth; file "n" has no array, that of "s" ends where it begins
+    counted = [("f", 0, 0, False, False, 0, False), ("f", 1, 7, False, True, 2, False), ("f", 2, 3, False, False, 0, False),
+               ("f", 3, 1, True, True, 5, False), ("f", 4, 9, False, False, 0, False), ("n", 0, 4, True, False, 0, False),
+               ("s", 0, 0, False, True, 2, True), ("s", 1, 6, False, False, 0, False)]
+    counts = spark.createDataFrame(counted, "file string, block long, before long, ended boolean, begins boolean, after long, ended_after boolean")
+    ranges = split.places(counts.selectExpr("*", "false as in_string", "0L as depth", "false as unclosed", "true as complete"))
+    got = {(r.file, r.block): (r.inside, r.may_begin, r.first_record, r.records) for r in ranges.collect()}
+    assert [got["f", k] for k in range(5)] == [
+        (False, True, 0, 6), (False, True, 0, 6), (True, False, 2, 6), (True, False, 5, 6), (False, False, 6, 6)]
+    assert got["n", 0] == (False, True, 0, -1)
+    assert [got["s", k] for k in (0, 1)] == [(False, True, 0, 2), (False, False, 2, 2)]

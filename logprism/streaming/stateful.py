@@ -124,6 +124,7 @@ class TrailingWindows(StatefulProcessor):
             else:
                 self.waiting.clear()
         known = {minute: json.loads(facts) for (minute,), (facts,) in self.recent.iterator()}
+        stored, touched = set(known), set()
         if due:
             first = due[0][0] - max(self.widths)
             entries = [e for minute in sorted(known) for e in known[minute] if e[0] >= first]
@@ -134,17 +135,18 @@ class TrailingWindows(StatefulProcessor):
             times = np.array([r[0] for r in due], np.int64)
             measured = window_values(at, counts, [e[2] for e in entries], times, self.widths)
             yield pd.DataFrame({"_row": [r[2] for r in due], **dict(zip(self.names, measured))})
-            touched = set()
             for entry in new:
                 minute = entry[0] // MICROS_PER_MINUTE
                 known.setdefault(minute, []).append(entry)
                 touched.add(minute)
-            for minute in touched:
-                self.recent.updateValue((minute,), (json.dumps(known[minute]),))
         reach = passed - max(self.widths)
         for minute in [m for m in known if (m + 1) * MICROS_PER_MINUTE <= reach]:
-            self.recent.removeKey((minute,))
+            if minute in stored:
+                self.recent.removeKey((minute,))
             del known[minute]
+        # each is a call to the state store: minutes that no later window reaches are never put there
+        for minute in touched & known.keys():
+            self.recent.updateValue((minute,), (json.dumps(known[minute]),))
         if later:
             self.wake(min(r[0] for r in later))
         elif known:

@@ -109,3 +109,46 @@ def test_scores_with_all_features(spark):
     got = {r.id: r.anomaly_score for r in finish(spark, out).collect()}
     wanted = {r.id: r.anomaly_score for r in score_features(extract_features(frame, processes=processes), model, "training").collect()}
     assert len(got) > 250 and got == pytest.approx({i: wanted[i] for i in got})
+
+
+class _State:
+    """A state variable that counts its writes."""
+
+    def __init__(self):
+        self.values, self.list, self.writes = {}, [], 0
+
+    exists = lambda self: bool(self.list)
+    get = lambda self: iter(self.list)
+    iterator = lambda self: iter(list(self.values.items()))
+
+    def put(self, rows):
+        self.list = list(rows)
+
+    def clear(self):
+        self.list = []
+
+    def updateValue(self, key, value):
+        self.values[key], self.writes = value, self.writes + 1
+
+    def removeKey(self, key):
+        del self.values[key]
+        self.writes += 1
+
+
+def test_minutes_out_of_reach_are_not_put_into_the_state():
+    """Of a long history that leaves at once, only the minutes that later windows reach are stored, and old ones go."""
+    minute = 60_000_000
+    processor = stateful.TrailingWindows([5 * minute], ["w"])
+    processor.waiting, processor.recent, processor.timer = _State(), _State(), _State()
+    processor.wake = lambda micros: None
+
+    def expire(watermark):
+        times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: watermark * 60_000})()
+        return [v for frame in processor.handleExpiredTimer(None, times, None) for v in frame["w"]]
+
+    processor.waiting.put([(k * minute, "[[1],[]]", str(k)) for k in range(100)])
+    assert expire(99) == [min(k, 5) + 1 for k in range(100)]
+    assert sorted(m for m, in processor.recent.values) == [94, 95, 96, 97, 98, 99] and processor.recent.writes == 6
+    processor.waiting.put([(102 * minute, "[[1],[]]", "n")])
+    assert expire(102) == [4]
+    assert sorted(m for m, in processor.recent.values) == [97, 98, 99, 102] and processor.recent.writes == 6 + 3 + 1

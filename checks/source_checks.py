@@ -55,7 +55,7 @@ FAULTS = (
 
 
 def _faulty(spark, sf_dir):
-    """Folder of documents, most of them broken, each in a folder doc=<number>."""
+    """Folder of documents, most of them broken, each a file doc=<number>.json; a thousand share a folder."""
     rows = logs(spark, sf_dir).select(
         F.floor(F.col("record_id") / 50).alias("doc"), "record_id",
         F.struct(F.date_format("log_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "message",
@@ -64,10 +64,10 @@ def _faulty(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("record_id", "r"))), lambda x: x["r"])).alias("data"))
     docs = docs.withColumn("meta", F.lit('{"created_at":"2024-02-01T00:00:00Z","total_records":50,"format":"json"}'))
     docs = docs.withColumn("body", F.expr("concat('{\"export_metadata\":', meta, ',\"data\":', data, '}')"))
-    kind = F.expr("doc % " + str(len(FAULTS)))
+    name = F.expr("concat('part=', doc div 1000, '/doc=', doc, '.json')")
     value = F.expr("case " + " ".join(f"when doc % {len(FAULTS)} = {k} then {text}" for k, (text, _) in enumerate(FAULTS)) + " end")
     path = run_dir(spark, "faulty")
-    docs.select("doc", kind.alias("kind"), value.alias("value")).drop("kind").repartition("doc").write.partitionBy("doc").text(path)
+    exports.write_documents(docs.select(name.alias("name"), F.concat(value, F.lit("\n")).alias("body")), path)
     return path
 
 

@@ -6,6 +6,11 @@ convert the records once with :func:`logprism.sources.logs.write_logs`.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,13 +53,52 @@ def read_export(spark: SparkSession, path: str, require_data: bool = True) -> Da
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents as text: file, size_bytes, body.  Nothing is parsed yet."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)  # the argument, unlike the option, is kept
         .select(F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_size").alias("size_bytes"),
                 F.col("value").alias("body"))
     )
 
 
+def write_documents(docs: DataFrame, path: str, name: str = "name", body: str = "body") -> None:
+    """Write whole documents, one file each: ``body`` as it is, to ``name`` below a new folder.
+
+    For many small documents: Spark's own writer takes a folder and several
+    processes for each.  Names may hold folders; where they keep these to some
+    thousand files, listings are quick.  The tasks write to a folder beside
+    ``path`` that gets its name once all have ended, so a failed job leaves no
+    part of them.
+    """
+    context = docs.sparkSession.sparkContext
+    target, beside = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + "-unfinished"))
+    system = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise FileExistsError(path)
+    system.mkdirs(beside)
+    folder = re.sub("^file:/+", "file:///", system.makeQualified(beside).toUri().toString())
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pafs.FileSystem.from_uri(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for place, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                file = f"{base}/{place}"
+                above = file.rsplit("/", 1)[0]
+                if above not in made:
+                    files.create_dir(above, recursive=True)
+                    made.add(above)
+                with files.open_output_stream(file, compression=None) as stream:
+                    stream.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    try:
+        docs.select(name, body).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        if not system.rename(beside, target):
+            raise OSError(f"cannot rename to {path}")
+    finally:
+        system.delete(beside, True)
+
+
 def write_export(logs: DataFrame, path: str, file_column: str, order: str, created_at: str) -> None:
     """Write documents, one per value of ``file_column``.
 

@@ -209,3 +209,34 @@ def test_documents_are_written_record_by_record(spark):
     assert [r.message for r in read] == [f'"}}],{k}' for k in [*range(298, -1, -2), *range(299, 0, -2)]]
     info = exports.export_info(spark, path).collect()
     assert {(r.record_count, r.total_records, r.format, r.has_metadata) for r in info} == {(150, 150, "json", True)}
+
+
+def test_whole_documents_share_folders(spark, sf_dir):
+    """Writing and listing go by folders of many documents, not by one for each."""
+    from checks import source_checks
+
+    read = exports.read_documents(spark, source_checks._faulty(spark, sf_dir)).collect()
+    assert len(read) == 20 and len({r.file.rsplit("/", 1)[0] for r in read}) == 1
+    assert {r.file.rsplit("/", 1)[1] for r in read} == {f"doc={k}.json" for k in range(20)}
+    assert all(r.body.endswith("\n") and r.size_bytes == len(r.body.encode()) for r in read)
+
+
+def test_whole_documents_are_written_as_they_are(spark):
+    path = run_dir(spark, "whole")
+    bodies = {"a/1.json": '{"x":"é\n"}', "a/2 %20.json": "no end", "3.json": ""}
+    docs = spark.createDataFrame([*bodies.items(), ("b/4.json", None)], "name string, body string")
+    exports.write_documents(docs, path)
+    read = {r.file.split("/whole-")[1].split("/", 1)[1]: r.body for r in exports.read_documents(spark, path).collect()}
+    assert sorted(read.values()) == sorted(b for b in bodies.values() if b)  # Spark's scans pass over files without bytes
+    assert {r.path.rsplit("/", 1)[1]: r.length for r in files.listing(spark, path).collect()} == {
+        "1.json": 11, "2 %20.json": 6, "3.json": 0, "4.json": 0}
+    with pytest.raises(FileExistsError):
+        exports.write_documents(docs, path)
+
+
+def test_a_failed_write_leaves_no_documents(spark, tmp_path):
+    docs = spark.range(40).select(F.concat("id", F.lit(".json")).alias("name"), F.when(
+        F.col("id") == 39, F.raise_error(F.lit("stop"))).otherwise(F.lit("{}")).alias("body"))
+    with pytest.raises(Exception, match="stop"):
+        exports.write_documents(docs, f"{tmp_path}/failed")
+    assert not list(tmp_path.iterdir())

@@ -4,6 +4,7 @@ import hashlib
 import re
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -324,3 +325,25 @@ def test_license_scan(spark):
         6: ("GPL-3.0", "own"), 7: ("GPL-3.0", "inherited"), 8: ("MIT", "own"), 9: (None, None), 10: ("MIT", "inherited"),
         11: ("MIT", "inherited")}
     assert licenses.license_scan(frame.limit(0)).count() == 0
+
+
+def test_line_keys_are_packed_and_lose_no_pair(spark):
+    """Lines within the edits share a key; the shuffle has twelve bytes for each, copies of a line next to it none."""
+    draw, rows = random.Random(5), []
+    for k in range(150):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(5, 260))]
+        other = list(base)
+        for _ in range(int(len(base) * 0.2 + 1e-9)):
+            other[draw.randrange(len(other))] = f"x{draw.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    frame = spark.createDataFrame(rows, "class long, norm string").coalesce(1)
+    packed = lines.keyed_classes(frame, 5, 0.8).collect()
+    keys, size = {}, 0
+    for r in packed:
+        size += len(r.keys) + len(r.classes)
+        for key, c in zip(np.frombuffer(r.keys, np.uint32).tolist(), np.frombuffer(r.classes, np.int64).tolist()):
+            keys.setdefault(c, set()).add((r.block, key))
+    assert all(keys[2 * k] & keys[2 * k + 1] for k in range(150))
+    assert size == 12 * sum(map(len, keys.values()))
+    found = lines.candidates(spark.createDataFrame(rows, "class long, norm string"), 5, 0.8)[0].collect()
+    assert {(r.a, r.b) for r in found} >= {(2 * k + 1, 2 * k) for k in range(150)}

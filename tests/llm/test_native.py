@@ -347,3 +347,59 @@ def test_line_keys_are_packed_and_lose_no_pair(spark):
     assert size == 12 * sum(map(len, keys.values()))
     found = lines.candidates(spark.createDataFrame(rows, "class long, norm string"), 5, 0.8)[0].collect()
     assert {(r.a, r.b) for r in found} >= {(2 * k + 1, 2 * k) for k in range(150)}
+
+
+def test_lines_are_normalised_once(spark, monkeypatch):
+    """No filter before the explode works the patterns out again."""
+    plans = []
+    monkeypatch.setattr(lines, "store", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lines.duplicate_lines(documents(spark, [(1, "A line of text.\nAnother", "s")]))
+    assert not re.search(r"Filter .*(regexp_replace|lower)", plans[0]) and plans[0].count("lower(") == 1
+
+
+def long_lines(rng, n, similarity=0.8):
+    """A line of n words, and another at the edit limit: words changed, put in and taken out."""
+    one = [f"w{rng.randrange(400 + 4 * n)}" for _ in range(n)]
+    other, most = list(one), int(n * (1 - similarity) + 1e-9)
+    for k in range(most):
+        at = rng.randrange(len(other))
+        other[at:at + 1] = ([f"x{rng.randrange(400)}"], [], [other[at]])[0 if k % 3 == 0 else 1 if k % 3 == 1 else 2]
+    return " ".join(one), " ".join(other)
+
+
+@pytest.mark.parametrize("n", [64, 66, 129, 140, 270, 600])
+def test_bags_rule_no_pair_within_the_edits_out(spark, n):
+    """Pairs at the limit stay, also where the two bags differ in size; most pairs of other lines of the same words go."""
+    rng, rows = random.Random(n), []
+    for k in range(40):
+        one, other = long_lines(rng, n)
+        rows += [(2 * k, one), (2 * k + 1, other)]
+    frame = spark.createDataFrame(rows, "class long, norm string")
+    bags = lines.class_bags(frame, frame.select("class"))
+    sound = spark.createDataFrame([(2 * k + 1, 2 * k) for k in range(40)], "a long, b long")
+    other = spark.createDataFrame([(2 * k + 1, 2 * j) for k in range(40) for j in range(k)], "a long, b long")
+    assert sorted(map(tuple, lines.near(sound, bags, 0.8).collect())) == [(2 * k + 1, 2 * k) for k in range(40)]
+    assert lines.near(other, bags, 0.8).count() < 0.05 * 780
+
+
+def test_few_unlike_long_lines_are_compared(spark, monkeypatch):
+    """Long lines that share a run, and no more, are not sent to the comparison of texts."""
+    rng, sent = random.Random(8), []
+    rows = [(k, " ".join(["one run of words", *[f"w{rng.randrange(4000)}" for _ in range(300)], "its end is the same"]), "s") for k in range(40)]
+    real = lines.verified
+
+    def spied(pairs, classes, similarity):
+        sent.append(pairs.count())
+        return real(pairs, classes, similarity)
+
+    monkeypatch.setattr(lines, "verified", spied)
+    assert {r.n_dropped for r in lines.line_report(documents(spark, rows)).collect()} == {0}
+    assert sum(sent) < 40
+
+
+def test_wide_bags_fold(spark):
+    words, n = np.random.default_rng(1).integers(0, 2**63, 700).astype(np.uint64), np.array([300, 400])
+    wide, narrow = lines.parities(words, n, 16), lines.parities(words, n, 4)
+    assert (np.bitwise_xor.reduce(wide.reshape(2, -1, 4), axis=1) == narrow).all()
+    assert lines.wide_size(np.array([1, 64, 65, 128, 129, 5000])).tolist() == [0, 0, 4, 4, 8, 256]

@@ -403,3 +403,14 @@ def test_wide_bags_fold(spark):
     wide, narrow = lines.parities(words, n, 16), lines.parities(words, n, 4)
     assert (np.bitwise_xor.reduce(wide.reshape(2, -1, 4), axis=1) == narrow).all()
     assert lines.wide_size(np.array([1, 64, 65, 128, 129, 5000])).tolist() == [0, 0, 4, 4, 8, 256]
+
+
+def test_rounds_of_keys_are_parts_of_them(spark):
+    frame = spark.createDataFrame([(k, " ".join(f"w{k % 7}x{i}" for i in range(30))) for k in range(40)], "class long, norm string")
+
+    def keys(*rounds):
+        return sorted((r.block, key) for r in lines.keyed_classes(frame, 5, 0.8, *rounds).collect() for key in np.frombuffer(r.keys, np.uint32))
+
+    assert lines.ROUNDS > 1
+    parts = [keys(part, lines.ROUNDS) for part in range(lines.ROUNDS)]
+    assert all(parts) and sorted(sum(parts, [])) == keys()

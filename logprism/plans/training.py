@@ -8,10 +8,10 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logprism.functions import fixed
 from logprism.operators import evaluate as ev
@@ -256,40 +256,32 @@ def permutation_importance(
     All records are used unless ``rows`` asks for a sample (the smallest
     hashes).  A shuffle deals the records to random blocks of about
     ``SHUFFLE_BLOCK`` and permutes each, so no window spans a whole repeat.
-    The scores before are computed once.
+    Trees are walked again only where a shuffled value takes another way.
     """
     names = model.scaler.features
     ready = model.scaler.transform(model.scaler.fill(features)).select(record_id, *names)
     if rows is not None:
         ready = ready.orderBy(F.xxhash64(F.col(record_id), F.lit(seed)), record_id).limit(rows)
     walker = model.forest()
-    sample = store(forest_ops.forest_score(ready, walker, "before"), "importance")
+    sample = store(ready, "importance")
     blocks = max(1, math.ceil(sample.count() / SHUFFLE_BLOCK))
-    vector = F.array(*[F.col(n) for n in names])
+    vector = F.array(*[F.col(n).cast("double") for n in names])
     repeat = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
-    base = sample.select(record_id, "before", vector.alias("x"), repeat)
-    base = base.withColumn("block", F.pmod(F.xxhash64(record_id, "repeat", F.lit(seed + 2)), F.lit(blocks)))
-    first = Window.partitionBy("repeat", "block").orderBy(record_id)
-    second = Window.partitionBy("repeat", "block").orderBy(
-        F.xxhash64(F.col(record_id), F.col("repeat"), F.lit(seed + 1)), record_id)
-    ranked = base.withColumns({"k": F.row_number().over(first), "l": F.row_number().over(second)})
+    base = sample.select(F.col(record_id).alias("id"), vector.alias("x"), repeat)
+    base = base.withColumns({
+        "block": F.pmod(F.xxhash64("id", "repeat", F.lit(seed + 2)), F.lit(blocks)),
+        "place": F.xxhash64("id", "repeat", F.lit(seed + 1))})
     shared = features.sparkSession.sparkContext.broadcast(walker)  # bounded by the options
 
-    def changes(block: pd.DataFrame) -> pd.DataFrame:
+    def changes(block: pa.Table) -> pa.Table:
         """Per feature, the sum of the changes when each row takes it from the row of its place in the second order."""
-        x, before = np.stack(block["x"].to_numpy()), block["before"].to_numpy()
-        donor = np.empty(len(block), dtype=np.int64)
-        donor[block["l"].to_numpy() - 1] = np.arange(len(block))
-        other, total = x[donor[block["k"].to_numpy() - 1]], []
-        for i in range(len(names)):
-            changed = x.copy()
-            changed[:, i] = other[:, i]
-            total.append(np.abs(shared.value.score_matrix(changed) - before).sum())
-        return pd.DataFrame({"f": np.arange(len(names)), "total": total, "rows": len(block)})
+        x = block["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)
+        order, second = (x[pc.sort_indices(block, sort_keys=[(c, "ascending") for c in by]).to_numpy()] for by in (("id",), ("place", "id")))
+        total = shared.value.shuffle_changes(order, second)
+        return pa.table({"f": pa.array(np.arange(len(names)), pa.int32()), "total": total, "rows": np.full(len(names), len(block))})
 
     # a block is small, and its rows are exploded by feature where they are scored
-    both = ranked.select("repeat", "block", "before", "x", "k", "l").groupBy("repeat", "block").applyInPandas(
-        changes, "f int, total double, rows long")
+    both = base.groupBy("repeat", "block").applyInArrow(changes, "f int, total double, rows long")
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1)
     return both.groupBy("f").agg((F.sum("total") / F.sum("rows")).alias("importance")).select(
         named.alias("feature"), "importance")

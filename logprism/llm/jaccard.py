@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from logprism.llm.common import (
     SLOTS_DDL, arrow_rows, binary, connected_components, hashed_words, mix, reduce_slots, rolling, slot_rows,
 )
-from logprism.session import store
+from logprism.session import discard, release, run_dir, store
 
 SHINGLE = 5
 PERCENT = 80
@@ -63,8 +63,15 @@ FILTER_BITS = 1 << 24
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bits", pa.binary()),
                     ("slot", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 SIGNED_DDL = "doc_id long, text_key long, n_shingles long, class long, bits binary, slot int, part int, data binary"
-PREFIX = pa.schema([("shingle", pa.int64()), ("class", pa.int64())])
-PREFIX_DDL = "shingle long, class long"
+#: First shingles are shuffled in so many blocks, a power of two, by rows that a task makes of about so many at once.
+KEY_BLOCKS = 1024
+PACK = 500_000
+PACKED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())])
+PACKED_DDL = "block int, keys binary, classes binary"
+STARS = pa.schema([("class", pa.int64()), ("root", pa.int64())])
+STARS_DDL = "class long, root long"
+#: Meetings of blocks are held in so many rounds, each for a part of the roots, so that no more bitmaps are shuffled at once.
+MEETING_ROUNDS = 4
 SETS = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
 SETS_DDL = "class long, shingles binary"
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -122,8 +129,8 @@ def counter_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
-def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, text_key, n_shingles, class, bits`` of every document, and how many texts have the shingles of each counter.
+def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """``doc_id, text_key, n_shingles, class, bits`` of every document, how many texts have the shingles of each counter, and the table of both.
 
     Both come from one pass over the texts; a task's counters are rows of their own.
     """
@@ -156,7 +163,7 @@ def signed(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     both = store(keyed.mapInArrow(run, SIGNED_DDL), "signed")
     slots = both.filter("slot is not null").select("slot", "part", "data")
     counters = reduce_slots(slots, "uint32", saturating, SLOT_COUNT)
-    return both.filter("slot is null").select("doc_id", "text_key", "n_shingles", "class", "bits"), counters
+    return both.filter("slot is null").select("doc_id", "text_key", "n_shingles", "class", "bits"), counters, both
 
 
 def saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,13 +172,28 @@ def saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``shingle, class``: of each set, the first shingles in the common order, among which a link must show."""
+    """``block, keys, classes``: of each set, the first shingles in the common order, among which a link must show, packed by block.
+
+    A key is 42 bits of a shingle, ten of which are its block's number; shingles
+    that have them in common only make a pair more to look at.  A row holds many
+    keys of a block, four bytes each, and their classes, eight each.
+    """
     # only the order of magnitude counts, so that nearly equal counters do not outweigh the hash
     rank = np.zeros(COUNTERS, np.uint8) if not len(counters) else np.log2(np.maximum(counters, 1)).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, shingles, classes, held = shared.value, [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            found = mix(np.concatenate(shingles)) >> np.uint64(22)
+            block = (found & np.uint64(KEY_BLOCKS - 1)).astype(np.int16)
+            order = np.argsort(block, kind="stable")
+            ends = np.searchsorted(block[order], np.arange(KEY_BLOCKS + 1))
+            sides = (found >> np.uint64(10)).astype(np.uint32)[order], np.concatenate(classes)[order]
+            some = [k for k in range(KEY_BLOCKS) if ends[k] < ends[k + 1]]
+            return arrow_rows(PACKED, [some, *[[side[ends[k]:ends[k + 1]].tobytes() for k in some] for side in sides]])
+
         for _, found in sets_of(batches, size):
             n = len(found)
             if not n:
@@ -180,16 +202,34 @@ def prefixes(docs: DataFrame, counters: np.ndarray, size: int, percent: int) ->
             order = (ranks[counter_of(found)].astype(np.uint64) << np.uint64(56)) | (
                 mix(found) >> np.uint64(8))
             first = found[np.argpartition(order, keep - 1)[:keep]] if keep < n else found
-            shingles.append(first.view(np.int64))
+            shingles.append(first)
             classes.append(np.full(len(first), class_of(found)))
             held += len(first)
-            if held > 200_000:
-                yield arrow_rows(PREFIX, [np.concatenate(shingles), np.concatenate(classes)])
+            if held > PACK:
+                yield rows()
                 shingles, classes, held = [], [], 0
         if shingles:
-            yield arrow_rows(PREFIX, [np.concatenate(shingles), np.concatenate(classes)])
+            yield rows()
+
+    return docs.mapInArrow(run, PACKED_DDL)
 
-    return docs.mapInArrow(run, PREFIX_DDL)
+
+def stars_of(block: pa.Table) -> pa.Table:
+    """``class, root`` of the classes that share a key with another, the root itself too: the smallest class of a key."""
+    keys, classes = (np.frombuffer(b"".join(block[c].to_pylist()), t) for c, t in (("keys", np.uint32), ("classes", np.int64)))
+    order = np.argsort(keys)
+    keys, classes = keys[order], classes[order]
+    same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+    several = same[1:] | same[:-1]
+    keys, classes = keys[several], classes[several]
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    bucket = np.cumsum(first) - 1
+    low, high = classes[first], classes[np.roll(first, -1)]
+    pairs = np.stack([classes, low[bucket]], axis=1)[(low < high)[bucket]]
+    return pa.table(list(np.unique(pairs, axis=0).T.copy()), schema=STARS)
 
 
 def words_of(bits: bytes) -> np.ndarray:
@@ -277,10 +317,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the similarity."""
+    """Stored: the pairs ``a, b`` whose whole sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = store(classes.select("class", "doc_id").join(wanted, "class", "left_semi"), "wanted")
     sets = store(class_sets(docs, wanted, size), "sets")
+    discard(wanted)
     sides = pairs
     for side in ("a", "b"):
         sides = sides.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
@@ -296,7 +337,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
             rows = pa.array(keep, pa.int64())
             yield arrow_rows(PAIRS, [batch["a"].take(rows), batch["b"].take(rows)])
 
-    return sides.mapInArrow(run, PAIRS_DDL)
+    found = store(sides.mapInArrow(run, PAIRS_DDL), "edges")
+    discard(sets)
+    return found
 
 
 class Node:
@@ -352,7 +395,7 @@ def traverse(a: Node, b: Node, percent: int) -> Iterator[tuple[int, int]]:
 
 
 def across_components(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of classes of one root and different components that the signature trees leave.
+    """Stored: pairs ``a, b`` of classes of one root and different components that the signature trees leave.
 
     Rows ``root, class, component``.  A root's classes are cut by size, and
     each cut into blocks; blocks of one cut or of neighbouring ones meet.  The
@@ -393,7 +436,7 @@ def across_components(members: DataFrame, classes: DataFrame, percent: int) -> D
     useful = sent.groupBy(*keys).agg(
         F.min("component").alias("_low"), F.max("component").alias("_high"),
         F.max(left).alias("_left"), F.max(right).alias("_right")).filter("_low < _high and _left and _right").select(*keys)
-    sent = sent.join(useful, keys).join(classes.select("class", "bits"), "class")
+    useful = store(useful, "meetings")
 
     def run(group: pa.Table) -> pa.Table:
         key = {k: group[k][0].as_py() for k in keys}
@@ -414,26 +457,26 @@ def across_components(members: DataFrame, classes: DataFrame, percent: int) -> D
             pa.array([max(classes[i], classes[j]) for i, j in found], pa.int64()),
             pa.array([min(classes[i], classes[j]) for i, j in found], pa.int64())], schema=PAIRS)
 
-    return sent.groupBy(*keys).applyInArrow(run, PAIRS_DDL)
+    spark = classes.sparkSession
+    path = run_dir(spark, "pairs")
+    for part in range(MEETING_ROUNDS):
+        of = F.pmod(F.xxhash64("root"), F.lit(MEETING_ROUNDS)) == part
+        held = sent.filter(of).join(useful.filter(of), keys).join(classes.select("class", "bits"), "class")
+        held.groupBy(*keys).applyInArrow(run, PAIRS_DDL).write.mode("append").parquet(path)
+        del held
+        release(spark)
+    discard(sent, useful)
+    pairs = spark.read.schema(PAIRS_DDL).parquet(path)
+    pairs.stored_at = path
+    return pairs
 
 
 def class_components(
     docs: DataFrame, classes: DataFrame, counters: np.ndarray, size: int, percent: int,
 ) -> DataFrame:
     """``node, component`` over the classes (rows ``class, n_shingles, bits, doc_id``) that have a link."""
-    keyed = store(prefixes(docs, counters, size, percent), "prefixes")
-    roots = store(keyed.groupBy("shingle").agg(
-        F.min("class").alias("root"), F.max("class").alias("_high")).filter("root < _high").select("shingle", "root"), "buckets")
-    shared = bloom_filter(roots, "shingle")
-
-    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held_by(shared)
-        for batch in batches:
-            places = filter_places(batch["shingle"].to_numpy(zero_copy_only=False))
-            yield batch.take(pa.array(np.flatnonzero(np.logical_and.reduce([bits[at] for at in places]))))
-
-    stars = store(
-        keyed.mapInArrow(in_buckets, PREFIX_DDL).join(roots, "shingle").select("class", "root").distinct(), "roots")
+    stars = store(prefixes(docs, counters, size, percent).groupBy("block").applyInArrow(stars_of, STARS_DDL).distinct(), "roots")
+    release(docs.sparkSession)
 
     def with_both(pairs: DataFrame, column: str, short: str) -> DataFrame:
         for side in ("a", "b"):
@@ -445,26 +488,38 @@ def class_components(
     first = with_both(first, "n_shingles", "n").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     first = with_both(first, "bits", "bits")
     tried = store(possible(first, percent), "pairs")
-    links = store(verified(tried, classes, docs, size, percent), "edges")
+    release(docs.sparkSession)
+    links = verified(tried, classes, docs, size, percent)
     found = connected_components(links)
 
     labelled = stars.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
+    labelled = store(labelled, "members")
+    discard(stars)
     mixed = labelled.groupBy("root").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     rest = labelled.join(mixed.filter("_low < _high").select("root"), "root")
-    pairs = across_components(rest, classes, percent).distinct()
-    more = verified(store(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), classes, docs, size, percent)
-    return connected_components(links.unionByName(more))
+    pairs = across_components(rest, classes, percent)
+    left = store(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(labelled, tried, pairs)
+    more = verified(left, classes, docs, size, percent)
+    discard(left)
+    every = connected_components(links.unionByName(more))
+    discard(links, more)
+    return every
 
 
 def labelled_documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, component`` of every document; sets that are linked share the component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked, counters = signed(docs, size)
+    marked, counters, both = signed(docs, size)
     classes = store(marked.filter("n_shingles > 0").groupBy("class").agg(
         F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "classes")
+    # the bitmaps are kept once for each class, not for each document
+    marked = store(marked.drop("bits"), "signed")
+    discard(both)
     found = class_components(docs, classes, counters, size, percent)
-    return marked.drop("bits").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
+    discard(classes)
+    return marked.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class")).drop("class")
 
 
